@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lookalikes, mixing, outranking, packing, splitting
+from . import languages, leakage, lookalikes, mixing, outranking, packing, splitting
 
 ARM_ORDER = "arm"
 
@@ -21,6 +21,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.assignments(req).where("piece > 1").select("chunk_id").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.mislabelled_chunks(table(spark, d, "chunks"), docs, languages.train(docs))
+
+
+def p2_stretches(spark: SparkSession, d: str) -> DataFrame:
+    model = languages.train(table(spark, d, "documents"))
+    return languages.stretches(table(spark, d, "chunks"), model, "id", "content").withColumnRenamed("id", "chunk_id")
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.document_languages(docs, languages.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     arms = [(r["arm"], r["better"] == "low") for r in table(spark, d, "score_arms").orderBy("arm").collect()]  # 4 rows, fixed
     return outranking.wide_scores(table(spark, d, "search_scores"), arms), len(arms)
@@ -46,6 +61,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return mixing.count_tokens(table(spark, d, "documents"), "doc_id", "text", "source")
 
@@ -73,7 +96,7 @@ def p8_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p4_found, p4_ranking, p5_found, p5_pieces, p7_found, p7_mix, p7_copies, p8_found, p8_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p8_found, p8_unified)}
 
 ORACLE = {
     "p1_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) // 4 > 1024",
