@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import languages, leakage, lookalikes, mixing, outranking, packing, splitting
+from . import languages, leakage, lookalikes, mixing, neighbours, outranking, packing, splitting
 
 ARM_ORDER = "arm"
 
@@ -36,6 +36,32 @@ def p2_documents(spark: SparkSession, d: str) -> DataFrame:
     return languages.document_languages(docs, languages.train(docs)).withColumnRenamed("id", "doc_id")
 
 
+KINDS = ("chunks", "documents")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "chunks").select(F.lit(0).alias("kind"), "id", F.col("embedding").alias("v"))
+    b = table(spark, d, "documents").select(F.lit(1).alias("kind"), F.col("doc_id").alias("id"), F.col("summary_embedding").alias("v"))
+    return a.unionByName(b)
+
+
+def _kind() -> Column:
+    return F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("item_table")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    graph, members, _ = neighbours.neighbour_graph(_vectors(spark, d))
+    return neighbours.similar_pairs(graph, members, 0.88).select(_kind(), "id_a", "id_b")
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """One row per usable vector: its node's neighbours by the smallest id of each, and how many copies share the node."""
+    graph, members, _ = neighbours.neighbour_graph(_vectors(spark, d))
+    copies = members.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    lists = graph.join(copies, "node").select("node", "copies", F.transform("near", lambda x: F.shiftright(x, 6)).alias("neighbours"), F.transform("sims", lambda s: F.round(1 - s, 3)).alias("distances"))
+    return members.join(lists, "node", "left").select(_kind(), "id", F.shiftright("node", 6).alias("class_id"), "copies", "neighbours", "distances")
+
+
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     arms = [(r["arm"], r["better"] == "low") for r in table(spark, d, "score_arms").orderBy("arm").collect()]  # 4 rows, fixed
     return outranking.wide_scores(table(spark, d, "search_scores"), arms), len(arms)
@@ -96,7 +122,7 @@ def p8_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p8_found, p8_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p8_found, p8_unified)}
 
 ORACLE = {
     "p1_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) // 4 > 1024",
