@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, INVISIBLE
 
 _LOOKS = str.maketrans(GREEK + CYRILLIC, GREEK_AS + CYRILLIC_AS, INVISIBLE)
+_ODD = re.compile(f"[{GREEK}{CYRILLIC}{INVISIBLE}]")
 _BREAK = re.compile(r"(?<=\w)[-‐‑]\s*\n\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -36,7 +37,9 @@ _WORD = re.compile(r"[^\W_]+")
 def normal_words(text: str) -> list[str]:
     """Words in case-folded, compatibility-composed form; look-alikes mapped, invisible characters and line-break hyphens gone."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_LOOKS))
+        if _ODD.search(text):
+            text = text.translate(_LOOKS)
+        text = unicodedata.normalize("NFKC", text)
     if "\n" in text:
         text = _BREAK.sub("", text)
     return _WORD.findall(text.casefold())
@@ -54,6 +57,11 @@ class Index:
     bits: np.ndarray  # repetition x step x word
     samples: np.ndarray  # repetition x sampled steps
     window: int
+    triples: list[np.ndarray]  # per item, its word triples as numbers
+
+
+def _triples(codes: np.ndarray) -> np.ndarray:
+    return (codes[:-2] << 42) ^ (codes[1:-1] << 21) ^ codes[2:]
 
 
 def _keys(codes: np.ndarray, starts: np.ndarray, bits: np.ndarray, samples: np.ndarray, window: int) -> np.ndarray:
@@ -100,7 +108,7 @@ def build_index(items: list[tuple[int, str]], boilerplate: set[str], window: int
             pairs = np.unique(np.stack([k, all_owner.astype(np.uint64)], 1), axis=0)
             keys.append(pairs[:, 0])
             owners.append(pairs[:, 1].astype(np.int64))
-    return Index(vocab, codes, ids, keys, owners, bits, samples, window)
+    return Index(vocab, codes, ids, keys, owners, bits, samples, window, [_triples(c) for c in codes])
 
 
 def alignment(item: np.ndarray, region: np.ndarray, penalty: int = 2) -> int:
@@ -138,6 +146,7 @@ def scan_text(text: str, index: Index, run: int, unknown: int) -> list[tuple[int
             for i in index.owners[r][lo[s] : hi[s]].tolist():
                 places.setdefault(i, []).append(int(starts[s]))
     out = []
+    triples = _triples(codes)
     for i, at in places.items():
         item = index.codes[i]
         need = min(run, len(item)) - 1
@@ -147,9 +156,10 @@ def scan_text(text: str, index: Index, run: int, unknown: int) -> list[tuple[int
         reach = w + len(item)
         for j in range(1, len(at) + 1):  # collisions an item's length apart at most share one region
             if j == len(at) or at[j] - at[j - 1] > reach:
-                region = codes[max(0, at[begin] - reach) : at[j - 1] + w + reach]
-                if np.isin(item, region).sum() >= need:
-                    best = max(best, alignment(item, region))
+                lo, hi = max(0, at[begin] - reach), at[j - 1] + w + reach
+                # m matches in e + 1 blocks hold m - 2(e + 1) triples, and m - 2e >= need: fewer than need - 2 can't do
+                if np.isin(index.triples[i], triples[lo : hi - 2]).sum() >= need - 2:
+                    best = max(best, alignment(item, codes[lo:hi]))
                 begin = j
         if best >= need:
             out.append((index.ids[i], best))
