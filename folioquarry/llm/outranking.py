@@ -69,24 +69,28 @@ def _small(long: DataFrame, q: float, p: float) -> DataFrame:
     return ranked.select("g", "item", "arm", "w", "x", (flow / F.greatest(F.col("n") - 1, F.lit(1))).alias("flow"))
 
 
+def _running(df: DataFrame, keys: list[str], order: list, sums: list[str], scratch: Scratch, partitions: int) -> DataFrame:
+    """Adds ``c_<sum>``: exclusive running sums within ``keys`` in ``order``, over tasks sorted by range.
+
+    A group of any size spans many tasks; what one task holds of it is summed
+    there and completed by the total of the tasks before.
+    """
+    cut = scratch.keep(df.repartitionByRange(partitions, *keys, *order).withColumn("pid", F.spark_partition_id()))
+    local = Window.partitionBy("pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("pid", *keys).agg(*[F.sum(s).alias(s) for s in sums])
+    before = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("pid", *keys, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias("o_" + s) for s in sums])
+    out = cut.withColumns({"l_" + s: F.coalesce(F.sum(s).over(local), F.lit(0)) for s in sums}).join(offs, ["pid", *keys])
+    return out.withColumns({"c_" + s: F.col("l_" + s) + F.col("o_" + s) for s in sums}).drop("pid", *["l_" + s for s in sums], *["o_" + s for s in sums])
+
+
 def _hot(long: DataFrame, q: float, p: float, scratch: Scratch, partitions: int) -> DataFrame:
     qi, pi = round(q * FLOW_SCALE), round(p * FLOW_SCALE)
 
-    def running(df: DataFrame, order: list, sums: list[str]) -> DataFrame:
-        """Exclusive running sums within (g, arm) in ``order``, over tasks sorted by range."""
-        cut = scratch.keep(df.repartitionByRange(partitions, "g", "arm", *order).withColumn("pid", F.spark_partition_id()))
-        local = Window.partitionBy("pid", "g", "arm").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        parts = cut.groupBy("pid", "g", "arm").agg(*[F.sum(s).alias(s) for s in sums])
-        before = Window.partitionBy("g", "arm").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-        offs = parts.select("pid", "g", "arm", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias("o_" + s) for s in sums])
-        out = cut.withColumns({"l_" + s: F.coalesce(F.sum(s).over(local), F.lit(0)) for s in sums})
-        out = out.join(offs, ["pid", "g", "arm"])
-        return out.withColumns({"c_" + s: F.col("l_" + s) + F.col("o_" + s) for s in sums}).drop("pid", *["l_" + s for s in sums], *["o_" + s for s in sums])
-
     # one row per distinct value: a tie of any size is one row from here on
     values = scratch.keep(long.groupBy("g", "arm", "v").agg(F.count(F.lit(1)).alias("m")))
     totals = values.groupBy("g", "arm").agg(F.sum("m").alias("n"))
-    ranked = running(values, [F.col("v").asc_nulls_first()], ["m"]).join(totals, ["g", "arm"])
+    ranked = _running(values, ["g", "arm"], [F.col("v").asc_nulls_first()], ["m"], scratch, partitions).join(totals, ["g", "arm"])
     ranked = ranked.withColumn("xi", F.round((2 * F.col("c_m") + F.col("m") + 1) / (2 * F.col("n")) * FLOW_SCALE).cast("long"))
     ranked = scratch.keep(ranked.select("g", "arm", "v", "m", "n", "xi"))
     # probes stand before the value they ask about, so their running sums are those of all smaller values
@@ -95,7 +99,7 @@ def _hot(long: DataFrame, q: float, p: float, scratch: Scratch, partitions: int)
                      F.struct(F.lit("v").alias("k"), F.col("xi").alias("at"), F.col("m").alias("m"), (F.col("xi") * F.col("m")).alias("s")))
     events = ranked.select("g", "arm", "v", "xi", F.explode(probes).alias("e")).select("g", "arm", "v", "xi", "e.k", "e.at", "e.m", "e.s")
     events = events.withColumn("later", (F.col("k") == "v").cast("int"))
-    summed = running(events, ["at", "later", "k", "xi"], ["m", "s"])
+    summed = _running(events, ["g", "arm"], ["at", "later", "k", "xi"], ["m", "s"], scratch, partitions)
     keys = ["g", "arm", "xi"]
     wide = summed.where("k <> 'v'").groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(c + k) for k in "abcd" for c in ("c_m", "c_s")])
     total_s = ranked.groupBy("g", "arm").agg(F.sum("m").alias("n"), F.sum(F.col("xi") * F.col("m")).alias("total"))
@@ -109,6 +113,12 @@ def _hot(long: DataFrame, q: float, p: float, scratch: Scratch, partitions: int)
             .select("g", "item", "arm", "w", "x", "flow"))
 
 
+def _crowded(wide: DataFrame, hot: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The groups above ``hot`` items (at most items / ``hot`` of them) and how many items they hold."""
+    big = scratch.keep(wide.groupBy("g").count().where(F.col("count") > hot))
+    return big, big.agg(F.sum("count")).first()[0] or 0
+
+
 def net_flow(wide: DataFrame, n_arms: int, weights: list[float] | None = None, q: float = 0.02, p: float = 0.3, hot: int = 100_000) -> DataFrame:
     """``(g, item, flow)`` with the weighted net flow in [-1, 1] from ``wide_scores``.
 
@@ -116,18 +126,15 @@ def net_flow(wide: DataFrame, n_arms: int, weights: list[float] | None = None, q
     (mid-rank percentiles).  Groups of one item have flow 0; an empty table
     gives an empty result.  ``hot`` only chooses the way, not the result.
     """
-    spark = wide.sparkSession
     weights = weights or [1.0] * n_arms
     whole = sum(weights)
-    scratch = Scratch(spark, "outranking")
+    scratch = Scratch(wide.sparkSession, "outranking")
     wide = scratch.keep(wide)
     stack = F.explode(F.array(*[F.struct(F.lit(i).alias("arm"), F.col(f"v{i}").alias("v"), F.lit(weights[i] / whole).alias("w")) for i in range(n_arms)])).alias("s")
     long = wide.select("g", "item", stack).select("g", "item", "s.arm", "s.v", "s.w")
-    big = scratch.keep(wide.groupBy("g").count().where(F.col("count") > hot).select("g", "count"))
-    n_big = big.agg(F.sum("count")).first()[0]
+    big, n_big = _crowded(wide, hot, scratch)
     if n_big:
         parts = max(8, n_big * n_arms // 1_000_000)
-        # at most rows/hot groups are hot; a plain join, broadcast by its measured size
         flows = _small(long.join(big.select("g"), "g", "left_anti"), q, p).unionByName(_hot(long.join(big.select("g"), "g", "left_semi"), q, p, scratch, parts))
     else:
         flows = _small(long, q, p)
@@ -173,11 +180,22 @@ def clear_winners(wide: DataFrame, flows: DataFrame, n_arms: int, need: int, fol
     return against.groupBy("g", "w").agg(F.sum(((F.col("item") != F.col("w")) & (won < need)).cast("int")).alias("bad")).where("bad = 0").select("g", F.col("w").alias("item"))
 
 
-def rank_items(wide: DataFrame, n_arms: int, need: int = 3, **options) -> DataFrame:
-    """``(g, item, flow, position, clear)``: one order per group, any clear winner first, then by net flow, then by item."""
+def rank_items(wide: DataFrame, n_arms: int, need: int = 3, hot: int = 100_000, **options) -> DataFrame:
+    """``(g, item, flow, clear, position)``: one order per group, any clear winner first, then by net flow, then by item."""
     scratch = Scratch(wide.sparkSession, "ranking")
     wide = scratch.keep(wide)
-    flows = scratch.keep(net_flow(wide, n_arms, **options))
+    flows = scratch.keep(net_flow(wide, n_arms, hot=hot, **options))
     win = clear_winners(wide, flows, n_arms, need).withColumn("clear", F.lit(True))
-    order = Window.partitionBy("g").orderBy(F.col("clear").desc(), F.col("flow").desc(), "item")
-    return flows.join(win, ["g", "item"], "left").withColumn("clear", F.coalesce("clear", F.lit(False))).withColumn("position", F.row_number().over(order))
+    rows = flows.join(win, ["g", "item"], "left").withColumn("clear", F.coalesce("clear", F.lit(False)))
+    order = [F.col("clear").desc(), F.col("flow").desc(), F.col("item")]
+
+    def small(df: DataFrame) -> DataFrame:
+        return df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long"))
+
+    big, n_big = _crowded(wide, hot, scratch)
+    if not n_big:
+        return small(rows)
+    large = rows.join(big.select("g"), "g", "left_semi").withColumn("one", F.lit(1).cast("long"))
+    large = _running(large, ["g"], order, ["one"], scratch, max(8, n_big // 1_000_000))
+    large = large.select(*rows.columns, (F.col("c_one") + 1).alias("position"))
+    return small(rows.join(big.select("g"), "g", "left_anti")).unionByName(large)
