@@ -226,11 +226,11 @@ def descend(nodes: DataFrame, n: int, dim: int, k: int, width: int, rounds: int,
     return graph
 
 
-def neighbour_graph(vectors: DataFrame, dim: int = 64, k: int = 10, width: int = 8, rounds: int = 3, least: float = 0.02, tables: int = 4, bucket: int = 1024, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def neighbour_graph(vectors: DataFrame, dim: int = 64, k: int = 16, width: int = 16, rounds: int = 3, least: float = 0.05, tables: int = 6, bucket: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(graph, members, nodes)`` of ``vectors`` = ``(kind, id, v)``, kind 0..63.
 
     ``graph``: ``(node, near, sims)``, the ``k`` nearest nodes by cosine, best
-    first.  ``members``: ``(node, kind, id)``, one row per usable vector; rows
+    first; a list somewhat longer than wanted makes the descent surer.  ``members``: ``(node, kind, id)``, one row per usable vector; rows
     with equal vectors share a node (copies need not be compared).  Null,
     all-zero, non-finite and wrong-length vectors are in neither.  Length does
     not matter.  Empty input gives empty results.

@@ -58,7 +58,7 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """One row per usable vector: its node's neighbours by the smallest id of each, and how many copies share the node."""
     graph, members, _ = neighbours.neighbour_graph(_vectors(spark, d))
     copies = members.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    lists = graph.join(copies, "node").select("node", "copies", F.transform("near", lambda x: F.shiftright(x, 6)).alias("neighbours"), F.transform("sims", lambda s: F.round(1 - s, 3)).alias("distances"))
+    lists = graph.join(copies, "node").select("node", "copies", F.transform(F.slice("near", 1, 10), lambda x: F.shiftright(x, 6)).alias("neighbours"), F.transform(F.slice("sims", 1, 10), lambda s: F.round(1 - s, 3)).alias("distances"))
     return members.join(lists, "node", "left").select(_kind(), "id", F.shiftright("node", 6).alias("class_id"), "copies", "neighbours", "distances")
 
 

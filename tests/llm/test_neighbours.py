@@ -18,7 +18,7 @@ def test_recall(spark):
     rng = np.random.default_rng(2)
     x = clustered(3000, 32, rng)
     graph, members, _ = neighbours.neighbour_graph(frame(spark, x), dim=32, bucket=128, tables=3)
-    near = {r["node"] >> 6: [n >> 6 for n in r["near"]] for r in graph.collect()}
+    near = {r["node"] >> 6: [n >> 6 for n in r["near"][:10]] for r in graph.collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -57,4 +57,4 @@ def test_crowded_bucket_and_copies(spark):
     x = np.concatenate([x, np.repeat([[1.0, -1, 1, -1, 1, -1, 1, -1]], 300, 0)])
     graph, members, _ = neighbours.neighbour_graph(frame(spark, x), dim=8, bucket=32, rounds=6, least=0.001)
     near = {r["node"]: r["near"] for r in graph.collect()}
-    assert members.count() == 1200 and len(near) <= 901 and all(len(n) == 10 for n in near.values())
+    assert members.count() == 1200 and len(near) <= 901 and all(len(n) == 16 for n in near.values())
