@@ -121,9 +121,8 @@ def _merge(lists: DataFrame, k: int, parts: int) -> DataFrame:
     return lists.repartition(parts, "node").mapInArrow(run, LISTS)
 
 
-def _start(nodes: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int, seed: int, scratch: Scratch, parts: int) -> DataFrame:
-    sub = max(1, round(2 * n / (2 * dim * bucket)))
-    rotations = _rotations(dim, tables, seed)
+def _placed(nodes: DataFrame, sub: int, rotations: np.ndarray) -> DataFrame:
+    """``(node, q, scale, key)``: each node in two buckets of every table; the low six bits of a key hold the kind."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,8 +132,24 @@ def _start(nodes: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int,
                 offsets = np.arange(0, key.size + 1, key.shape[1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(key.ravel()))], names=[*b.schema.names, "keys"])
 
-    # the low six bits hold the kind
-    placed = nodes.mapInArrow(code, "node long, q binary, scale float, keys array<long>").select("node", "q", "scale", F.explode("keys").alias("key"))
+    return nodes.select("node", "q", "scale").mapInArrow(code, "node long, q binary, scale float, keys array<long>").select("node", "q", "scale", F.explode("keys").alias("key"))
+
+
+def _sectors(n: int, dim: int, bucket: int) -> int:
+    return max(1, round(2 * n / (2 * dim * bucket)))
+
+
+def _lists(ids: np.ndarray, near: np.ndarray, sims: np.ndarray) -> pa.Table:
+    m = near.shape[1] if near.ndim == 2 else 0
+    offsets = (np.arange(len(ids) + 1) * m).astype(np.int32)
+    return pa.table({"node": pa.array(ids, pa.int64()), "near": pa.ListArray.from_arrays(offsets, pa.array(near.ravel(), pa.int64())), "sims": pa.ListArray.from_arrays(offsets, pa.array(sims.ravel(), pa.float32()))})
+
+
+_NONE = (np.zeros(0, np.int64), np.zeros((0, 1), np.int64), np.zeros((0, 1), np.float32))
+
+
+def _start(nodes: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int, seed: int, scratch: Scratch, parts: int) -> DataFrame:
+    placed = _placed(nodes, _sectors(n, dim, bucket), _rotations(dim, tables, seed))
     # a crowded bucket is cut at random into blocks, in each table differently; the descent joins what a cut parts
     crowded = placed.groupBy("key").count().where(F.col("count") > 4 * bucket).select(F.col("key").alias("ckey"), F.ceil(F.col("count") / (2 * bucket)).cast("long").alias("blocks"))
     crowded = scratch.keep(crowded)
@@ -145,7 +160,7 @@ def _start(nodes: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int,
 
     def mates(t: pa.Table) -> pa.Table:
         if t.num_rows < 2:
-            return pa.table({"node": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float32()))})
+            return _lists(*_NONE)
         x, ids = _unpack(t), t["node"].to_numpy()
         m = min(k, len(ids) - 1)
         near, sims = [], []
@@ -155,9 +170,7 @@ def _start(nodes: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int,
             at = np.argpartition(s, len(ids) - m, axis=1)[:, -m:]
             near.append(ids[at])
             sims.append(np.take_along_axis(s, at, 1))
-        near, sims = np.concatenate(near), np.concatenate(sims).astype(np.float32)
-        offsets = np.arange(0, near.size + 1, m).astype(np.int32)
-        return pa.table({"node": pa.array(ids), "near": pa.ListArray.from_arrays(offsets, pa.array(near.ravel())), "sims": pa.ListArray.from_arrays(offsets, pa.array(sims.ravel()))})
+        return _lists(ids, np.concatenate(near), np.concatenate(sims))
 
     first = placed.groupBy("key", "block").applyInArrow(mates, LISTS)
     return scratch.keep(_merge(first, k, parts))
@@ -226,7 +239,7 @@ def descend(nodes: DataFrame, n: int, dim: int, k: int, width: int, rounds: int,
     return graph
 
 
-def neighbour_graph(vectors: DataFrame, dim: int = 64, k: int = 16, width: int = 16, rounds: int = 3, least: float = 0.05, tables: int = 6, bucket: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def neighbour_graph(vectors: DataFrame, dim: int = 64, k: int = 16, width: int = 16, rounds: int = 3, least: float = 0.05, tables: int = 8, bucket: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(graph, members, nodes)`` of ``vectors`` = ``(kind, id, v)``, kind 0..63.
 
     ``graph``: ``(node, near, sims)``, the ``k`` nearest nodes by cosine, best
@@ -251,6 +264,101 @@ def neighbour_graph(vectors: DataFrame, dim: int = 64, k: int = 16, width: int =
     return descend(nodes, n, dim, k, width, rounds, least, tables, bucket, seed, scratch), members, nodes
 
 
+def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int = 64, k: int = 10, beam: int = 48, width: int = 16, hops: int = 3, tables: int = 2, bucket: int = 4096, seed: int = 5) -> DataFrame:
+    """``(node, near, sims)`` per query ``(node, q, scale)``: the ``k`` most similar nodes, found by greedy search of the graph.
+
+    The search starts from the best bucket mates in ``tables`` tables.  In each
+    hop the ``width`` best nodes of the beam that were not opened yet are opened:
+    their neighbours are compared with the query and the ``beam`` best stay.  A
+    query that is itself a node does not find itself.  Queries without a mate
+    find nothing.
+    """
+    spark = nodes.sparkSession
+    scratch = Scratch(spark, "search")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = nodes.count()
+    sub, rotations = _sectors(n, dim, bucket), _rotations(dim, tables, seed)
+    queries = scratch.keep(queries.select("node", "q", "scale"))
+
+    def score(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            return _lists(*_NONE)
+        x, ids, y, mine = _unpack(asked), asked["node"].to_numpy(), _unpack(there), there["node"].to_numpy()
+        m = min(beam + 1, len(mine))
+        near, sims = [], []
+        for lo in range(0, len(ids), 512):
+            s = x[lo : lo + 512] @ y.T
+            s[ids[lo : lo + 512, None] == mine[None, :]] = -2
+            at = np.argpartition(s, len(mine) - m, axis=1)[:, -m:]
+            near.append(mine[at])
+            sims.append(np.take_along_axis(s, at, 1))
+        return _lists(ids, np.concatenate(near), np.concatenate(sims))
+
+    # a crowded bucket is compared in blocks, all of them with every query
+    placed = _placed(nodes, sub, rotations)
+    asked = _placed(queries, sub, rotations)
+    blocks = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (4 * bucket)).cast("int").alias("blocks"))
+    asked = asked.join(blocks, "key").select("node", "q", "scale", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    placed = placed.join(blocks, "key").select("node", "q", "scale", "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    mates = asked.groupBy("key", "block").cogroup(placed.groupBy("key", "block")).applyInArrow(score, LISTS)
+    # a query that is a node also starts from its own list
+    own = graph.join(queries.select("node"), "node", "left_semi").select("node", "near", "sims")
+    found = scratch.keep(_merge(mates.unionByName(own), beam, parts))
+    opened = None
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                y = _unpack(b)
+                x = _unpack(b.select(["aq", "ascale"]).rename_columns(["q", "scale"]))
+                one = np.einsum("ij,ij->i", x, y).astype(np.float32)
+                yield from _lists(b.column("asker").to_numpy(), b.column("node").to_numpy()[:, None], one[:, None]).to_batches()
+
+    ask = queries.select(F.col("node").alias("asker"), F.col("q").alias("aq"), F.col("scale").alias("ascale"))
+    for _ in range(hops):
+        beamed = found.select(F.col("node").alias("asker"), F.posexplode("near").alias("pos", "node"))
+        if opened is not None:
+            beamed = beamed.join(opened, ["asker", "node"], "left_anti")
+        best = beamed.groupBy("asker").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "node"))), 1, width).alias("b"))  # lists of at most the beam
+        front = scratch.keep(best.select("asker", F.explode("b.node").alias("node")))
+        opened = front if opened is None else opened.unionByName(front)
+        reach = front.join(graph.select("node", "near"), "node").select("asker", F.explode("near").alias("node")).where("asker <> node").distinct()
+        pairs = reach.join(nodes, "node").join(ask, "asker")
+        found = scratch.keep(_merge(found.unionByName(pairs.mapInArrow(compare, LISTS)), beam, parts))
+    return found.select("node", F.slice("near", 1, k).alias("near"), F.slice("sims", 1, k).alias("sims"))
+
+
+def exact_search(nodes: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """``(node, near, sims)`` by comparing every query ``(node, q, scale)`` with all nodes of its kind, in blocks: the measure for recall.
+
+    Queries are salted into blocks and nodes into as many shares as keep a pair
+    of blocks small; every query meets every share once.
+    """
+    spark = nodes.sparkSession
+    n, m = nodes.count(), queries.count()
+    shares, groups = max(1, n // 20_000), max(1, m // block)
+
+    def score(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            return _lists(*_NONE)
+        x, ids, y, mine = _unpack(asked), asked["node"].to_numpy(), _unpack(there), there["node"].to_numpy()
+        t = min(k, len(mine))
+        near, sims = [], []
+        for lo in range(0, len(ids), 256):
+            s = x[lo : lo + 256] @ y.T
+            s[ids[lo : lo + 256, None] == mine[None, :]] = -2
+            at = np.argpartition(s, len(mine) - t, axis=1)[:, -t:]
+            near.append(mine[at])
+            sims.append(np.take_along_axis(s, at, 1))
+        return _lists(ids, np.concatenate(near), np.concatenate(sims))
+
+    kind = F.col("node").bitwiseAND(63).alias("kind")
+    a = queries.select("node", "q", "scale", kind, F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("s"))
+    b = nodes.select("node", "q", "scale", kind, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shares)).cast("int").alias("s"))
+    met = a.groupBy("kind", "g", "s").cogroup(b.groupBy("kind", "g", "s")).applyInArrow(score, LISTS)
+    return _merge(met, k, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def similar_pairs(graph: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """``(kind, id_a, id_b)``: pairs of rows with similarity of at least ``least``, copies of a node included."""
     edges = graph.select("node", F.explode(F.arrays_zip("near", "sims")).alias("e")).where(F.col("e.sims") >= least)

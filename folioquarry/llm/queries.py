@@ -46,7 +46,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kind() -> Column:
-    return F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("item_table")
+    return F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind").cast("int") + 1).alias("item_table")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,31 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return members.join(lists, "node", "left").select(_kind(), "id", F.shiftright("node", 6).alias("class_id"), "copies", "neighbours", "distances")
 
 
+def _asked(nodes: DataFrame) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 20."""
+    return nodes.where(F.shiftright("node", 6) % 20 == 0)
+
+
+def p3_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy graph search of the rows whose id is divisible by 20 against all rows."""
+    graph, _, nodes = neighbours.neighbour_graph(_vectors(spark, d))
+    found = neighbours.graph_search(graph, nodes, _asked(nodes))
+    hits = found.select(F.col("node").bitwiseAND(63).alias("kind"), F.shiftright("node", 6).alias("id"), F.posexplode(F.arrays_zip("near", "sims")).alias("rank", "e"))
+    return hits.select(_kind(), "id", (F.col("rank") + 1).alias("rank"), F.shiftright("e.near", 6).alias("neighbour_id"), F.round(1 - F.col("e.sims"), 3).alias("distance"))
+
+
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the exact ten nearest that graph and search return, over the same query set, compared in blocks."""
+    graph, _, nodes = neighbours.neighbour_graph(_vectors(spark, d))
+    asked = _asked(nodes)
+    exact = neighbours.exact_search(nodes, asked).select("node", F.col("near").alias("true"))
+    lists = graph.select("node", F.slice("near", 1, 10).alias("listed"))
+    found = neighbours.graph_search(graph, nodes, asked).select("node", F.col("near").alias("searched"))
+    both = exact.join(lists, "node", "left").join(found, "node", "left").withColumn("kind", F.col("node").bitwiseAND(63))
+    share = lambda c: F.round(F.sum(F.size(F.array_intersect("true", F.coalesce(c, F.array().cast("array<long>"))))) / F.sum(F.size("true")), 4)
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("queries"), share("listed").alias("graph_recall"), share("searched").alias("search_recall")).select(_kind(), "queries", "graph_recall", "search_recall")
+
+
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     arms = [(r["arm"], r["better"] == "low") for r in table(spark, d, "score_arms").orderBy("arm").collect()]  # 4 rows, fixed
     return outranking.wide_scores(table(spark, d, "search_scores"), arms), len(arms)
@@ -122,7 +147,7 @@ def p8_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p8_found, p8_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p3_search, p3_recall, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p8_found, p8_unified)}
 
 ORACLE = {
     "p1_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) // 4 > 1024",

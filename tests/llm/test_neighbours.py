@@ -58,3 +58,20 @@ def test_crowded_bucket_and_copies(spark):
     graph, members, _ = neighbours.neighbour_graph(frame(spark, x), dim=8, bucket=32, rounds=6, least=0.001)
     near = {r["node"]: r["near"] for r in graph.collect()}
     assert members.count() == 1200 and len(near) <= 901 and all(len(n) == 16 for n in near.values())
+
+
+def test_search(spark):
+    rng = np.random.default_rng(7)
+    x = clustered(2000, 16, rng)
+    graph, _, nodes = neighbours.neighbour_graph(frame(spark, x), dim=16, bucket=128, tables=2)
+    asked = nodes.where((nodes["node"] / 64).cast("long") % 20 == 0)
+    exact = {r["node"]: r["near"] for r in neighbours.exact_search(nodes, asked, block=16).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for node, near in list(exact.items())[:20]:
+        s = u @ u[node >> 6]
+        s[node >> 6] = -2
+        assert len(set(n >> 6 for n in near) & set(np.argsort(-s)[:10])) >= 9  # 8-bit codes may swap the last
+    found = {r["node"]: r["near"] for r in neighbours.graph_search(graph, nodes, asked, dim=16, bucket=128).collect()}
+    assert len(exact) == len(found) == 100
+    assert np.mean([len(set(exact[n]) & set(found[n])) / 10 for n in exact]) >= 0.95
+    assert neighbours.graph_search(graph, nodes, asked.limit(0), dim=16).collect() == []
