@@ -89,8 +89,10 @@ def unify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     c = classes(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     canon = c.select("canonical_id").distinct().join(base, F.col("canonical_id") == F.col("id")).select("canonical_id", mapped(F.col("text")).alias("canon"))
-    of = c.select("id", "canonical_id")
-    return base.join(of, "id", "left").join(canon, "canonical_id", "left").select("id", F.coalesce("canon", F.when(F.trim("text") == "", F.col("text")).otherwise(mapped(F.col("text")))).alias("text"))
+    # texts of no class, nearly all, meet no key of their own making: the only join of all texts is on the unique id
+    of = c.select("id", "canonical_id").join(canon, "canonical_id").select("id", "canon")
+    own = F.when(F.trim("text") == "", F.col("text")).otherwise(mapped(F.col("text")))
+    return base.join(of, "id", "left").select("id", F.coalesce("canon", own).alias("text"))
 
 
 def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
