@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from . import languages, leakage, lookalikes, mixing, neighbours, outranking, packing, splitting
 
-ARM_ORDER = "arm"
-
 
 def p1_requests(spark: SparkSession, d: str) -> DataFrame:
     req = packing.pack_requests(table(spark, d, "chunks"), "id", "content")
@@ -149,6 +147,39 @@ def p8_unified(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p3_search, p3_recall, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p8_found, p8_unified)}
 
+_WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _longest(text: str, pattern: str) -> str:
+    return f"list_max(list_transform(string_split_regex({text}, '{pattern}'), lambda x: length(regexp_replace(x, '^{_WHITE}+|{_WHITE}+$', '', 'g'))))"
+
+
+_P3 = """SELECT '{t}' AS item_table, a.id AS id_a, b.id AS id_b FROM v{t} a JOIN v{t} b ON a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.88"""
+_P3_V = "v{t} AS (SELECT {id} AS id, {v}::DOUBLE[] AS v FROM {t} WHERE {v} IS NOT NULL AND list_inner_product({v}::DOUBLE[], {v}::DOUBLE[]) > 0)"
+
+
+def _looks_sql() -> str:
+    source, target = lookalikes._pairs()
+    out = f"translate(nfc_normalize(text), '{source + lookalikes.INVISIBLE}', '{target.replace(chr(39), chr(39) * 2)}')"
+    for ligature, letters in lookalikes.LIGATURES.items():
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    return f"nfc_normalize({out})"
+
+
+_BETTER = " + ".join(f"CAST(a.v{i} IS NOT NULL AND (b.v{i} IS NULL OR a.v{i} > b.v{i}) AS INTEGER)" for i in range(4))
+
 ORACLE = {
     "p1_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) // 4 > 1024",
+    "p3_found": "WITH " + _P3_V.format(t="chunks", id="id", v="embedding") + ", " + _P3_V.format(t="documents", id="doc_id", v="summary_embedding") + " " + _P3.format(t="chunks") + " UNION ALL " + _P3.format(t="documents"),
+    "p4_found": f"""WITH s AS (SELECT request_id, chunk_id, arm, max(CASE WHEN better = 'low' THEN -raw_score ELSE raw_score END) AS v FROM search_scores JOIN score_arms USING (arm) GROUP BY 1, 2, 3),
+  w AS (SELECT request_id, chunk_id, max(v) FILTER (arm = 'age') AS v0, max(v) FILTER (arm = 'keyword') AS v1, max(v) FILTER (arm = 'title') AS v2, max(v) FILTER (arm = 'vector') AS v3 FROM s GROUP BY 1, 2)
+  SELECT a.request_id, a.chunk_id FROM w a JOIN w b ON a.request_id = b.request_id AND a.chunk_id <> b.chunk_id GROUP BY 1, 2 HAVING min({_BETTER}) >= 3""",
+    "p5_found": f"""SELECT id AS chunk_id, CASE WHEN {_longest("content", r"\f|\r?\n(?:[ \t]*\r?\n)+")} <= 2400 THEN 'paragraph' WHEN {_longest("content", r"\f|\r?\n")} <= 2400 THEN 'line'
+  WHEN {_longest(f"regexp_replace(content, '([.!?]){_WHITE}+', '\\1' || chr(1), 'g')", r"\x01|\f|\r?\n")} <= 2400 THEN 'sentence' WHEN {_longest("content", _WHITE + "+")} <= 2400 THEN 'word' ELSE 'none' END AS boundary
+  FROM chunks WHERE length(content) > 2400""",
+    # no case hangs on the tokenizer, so characters stand for tokens here
+    "p7_found": """WITH n AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1)
+  SELECT t.source FROM mix_targets t LEFT JOIN n ON n.source = t.source WHERE coalesce(n.n, 0) * max_repeats < target_share * (SELECT sum(n) FROM n)""",
+    "p8_found": f"""WITH t AS (SELECT doc_id, text, {_looks_sql()} AS look FROM documents WHERE regexp_replace(text, '{_WHITE}+', '', 'g') <> '')
+  SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
 }
