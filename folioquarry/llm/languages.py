@@ -37,6 +37,18 @@ TOKEN = re.compile(rf"(?<![\w/+=])(?:[^\W\d_]|[{_MARKS}])+(?![\w/+=])|[\n\r\f|;
 _LOOKS = str.maketrans(GREEK + CYRILLIC, GREEK_AS + CYRILLIC_AS, INVISIBLE)
 
 
+# Common words of each language, as lexicon features; their weights are learned.
+LEXICON = {
+    "en": "a about above all an and answer any are as at be been below between but by can could do each following follows for from had has have he her his how if in into is it its may more most must no not of on one only or other our out over read says she should so some such than that the their them then there these they this those through to under up use using was we were what when where which who why will with would you your",
+    "fi": "aina alla ei eivät eli ennen ensin entä että hän he ilman itse ja jo joita joka jokin jonka jos jota jotka joten kaikki kanssa koko koska kuin kuinka kun kunnes kuten kyllä lisäksi lue me mikä mitä mukaan mutta muu myös myöten ne niin noin nyt oli olivat olla olisi on ovat samoin se sekä sen siitä silloin sitten sitä tai te tämä tämän tästä vain vasta vaikka vielä vuoksi yhden yksi älä",
+    "sv": "alla allt att av bara bli blir blivit de dem den denna deras dess det detta dig din du där då efter eller en enligt er ett finns från få för förr genom ha hade han har hon hur här i icke in inga ingen inte jag kan kunde man med mellan men mig min mot mycket ned nedan när något några nu och om oss på samma sedan sig sin ska skulle som till under upp ut utan vad var vara varje vi vid vilken vår än är även över",
+    "da": "ad af alle alt at bare blev blive bliver da de dem den denne der deres det dette dig din disse du efter eller en end er et efterfølgende for fordi fra få før gennem ham han har havde hende her hun hvad hver hvis hvor i igen ikke ind ingen jeg kan kunne lige man mange med meget mellem men mig min mod må ned nedenfor nogen noget nogle nu når og også om op os over på samme selv sig sin skal skulle som til ud uden under var ved vi vil være",
+    "de": "aber alle allem als also am an auch auf aus bei bin bis bitte da damit dann das dass dem den denn der des dich die dies diese dieser doch dort du durch ein eine einem einen einer eines er es folgenden für gegen hat hatte ich ihm ihn ihr im in ist ja jede jeder kann kein keine können lesen man mit muss nach nicht noch nun nur ob oder ohne sehr sein seine sich sie sind so über um und uns unter unten vom von vor war was weil welche wenn werden wie wird wir wo wurde zu zum zur zwischen",
+    "fr": "a afin ainsi alors après au aucun aussi autre aux avant avec avoir car ce cela ces cet cette chaque ci comme contre d dans de depuis des donc du elle elles en encore entre est et eux fait font il ils je jusqu l la le les leur lisez lui mais même moins ne ni non nos notre nous on ont ou où par pas pendant peu peut plus pour puis qu quand que quel quelle qui répondez s sa sans se ses si son sont sous sur tous tout toute très un une vos votre vous y à été être",
+}
+_LEXED = {lang: frozenset(words.split()) for lang, words in LEXICON.items()}
+
+
 def normal_word(word: str) -> str:
     if word.isascii():
         return word.lower()
@@ -47,11 +59,15 @@ def _bare(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).replace("æ", "ae").replace("ø", "o").replace("ß", "ss")
 
 
+_BARE = {lang: frozenset(map(_bare, words)) for lang, words in _LEXED.items()}
+
+
 def features(word: str) -> list[int]:
     """Hashed feature ids of one normal word."""
     names = ["w" + word]
     bare = word if word.isascii() else _bare(word)
     names.append("b" + bare)
+    names += ["l" + lang for lang, words in _LEXED.items() if word in words or bare in _BARE[lang]]
     names += [f"p{word[:k]}" for k in (1, 2, 3, 4) if len(word) >= k] + [f"s{word[-k:]}" for k in (1, 2, 3, 4) if len(word) >= k]
     for tag, form in (("n", word), ("m", bare)):
         edged = f"^{form}$"
@@ -213,7 +229,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 40, seed: int = 3, ma
             g_moves -= expected
             g_start += diff[:, 0].sum(0)
         g_feat = np.stack([np.bincount(flat, g_word[owner, k], minlength=len(used)) for k in range(n)], 1)
-        grads = (g_feat / total * 100 - 1e-3 * w, g_moves / total * 100 - 1e-3 * moves, g_start / total * 100)
+        grads = (g_feat / total * 100 - 5e-3 * w, g_moves / total * 100 - 1e-3 * moves, g_start / total * 100)
         for p, g, s in zip((w, moves, start), grads, sums):
             s += g * g
             p += 0.15 * g / np.sqrt(s)
