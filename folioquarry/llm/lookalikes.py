@@ -1,6 +1,8 @@
 """Problem 8: bring text that looks the same to the same characters.
 
-Built-in functions map look-alike characters; grouping runs in SQL under the
+Built-in functions map look-alike characters; only texts that may hold
+uncomposed accents or accented look-alikes travel to Python, which composes
+before and after the mapping.  Grouping runs in SQL under the
 accent- and case-sensitive UNICODE collation, for which precomposed and
 combining accents, and invisible characters, are equal.  Each class gets one
 deterministic canonical member, joined back to every document.
@@ -8,9 +10,14 @@ deterministic canonical member, joined back to every document.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import UNCOMPOSED
 from ..runtime import Scratch
 
 # Look-alike letters, then what they look like, place by place.
@@ -33,13 +40,47 @@ def _pairs() -> tuple[str, str]:
     return source, GREEK_AS + CYRILLIC_AS + " " * len(SPACES) + "-" * len(HYPHENS) + SIGNS_AS + plain
 
 
-def mapped(text: Column) -> Column:
-    """The text with look-alikes replaced and invisible characters removed; JVM-side, skipped for plain ASCII."""
+def _accented() -> dict[str, str]:
+    """Precomposed accented look-alikes and what they look like: Cyrillic io is e with diaeresis."""
+    plain = dict(zip(GREEK + CYRILLIC, GREEK_AS + CYRILLIC_AS))
+    out = {}
+    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
+        first, *rest = unicodedata.normalize("NFD", c)
+        if rest and first in plain:
+            out[c] = unicodedata.normalize("NFC", plain[first] + "".join(rest))
+    return out
+
+
+ACCENTED = _accented()
+# Beyond UNCOMPOSED: letters and signs that composition replaces wherever they stand.
+REPLACED = r"\x{374}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{f69}\x{2adc}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1f}"
+
+
+@cache
+def _composed(accents: bool):
+    """``mapped`` in Python, between two compositions; made on first use, as workers have no session."""
+    source, target = _pairs()
+    table = str.maketrans(dict(zip(source, target)) | dict.fromkeys(INVISIBLE, "") | LIGATURES | (ACCENTED if accents else {}))
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).translate(table)), na_action="ignore")
+
+    return F.pandas_udf(run, "string")
+
+
+def mapped(text: Column, accents: bool = False) -> Column:
+    """The text composed, look-alikes replaced and invisible characters removed; JVM-side but for what needs composing, skipped for plain ASCII.
+
+    With ``accents`` accented look-alikes are replaced as well.
+    """
     source, target = _pairs()
     out = F.translate(text, source + INVISIBLE, target)  # characters beyond the target's length are deleted
     for ligature, letters in LIGATURES.items():
         out = F.replace(out, F.lit(ligature), F.lit(letters))
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(out)
+    odd = F.octet_length(text) != F.length(text)
+    # the cheap ranges come first: nearly all characters end there
+    needs = text.rlike(r"[\x{300}-\x{2001}\x{2126}-\x{10ffff}&&" + UNCOMPOSED[:-1] + REPLACED + ("".join(ACCENTED) if accents else "") + "]]")
+    return F.coalesce(_composed(accents)(F.when(odd & needs, text)), F.when(odd, out).otherwise(text))
 
 
 def coarse_key(look: Column) -> Column:
@@ -84,14 +125,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def unify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text)``: every row of ``docs``; a text of a class takes the mapped form of the canonical member, any other its own mapped form.
 
-    Null stays null, blank and empty texts stay as they are.
+    Every form is composed, and accented look-alikes are mapped too, which the
+    classes leave apart.  Null stays null, blank and empty texts stay as they are.
     """
     c = classes(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    canon = c.select("canonical_id").distinct().join(base, F.col("canonical_id") == F.col("id")).select("canonical_id", mapped(F.col("text")).alias("canon"))
+    canon = c.select("canonical_id").distinct().join(base, F.col("canonical_id") == F.col("id")).select("canonical_id", mapped(F.col("text"), accents=True).alias("canon"))
     # texts of no class, nearly all, meet no key of their own making: the only join of all texts is on the unique id
     of = c.select("id", "canonical_id").join(canon, "canonical_id").select("id", "canon")
-    own = F.when(F.trim("text") == "", F.col("text")).otherwise(mapped(F.col("text")))
+    own = F.when(F.trim("text") == "", F.col("text")).otherwise(mapped(F.col("text"), accents=True))
     return base.join(of, "id", "left").select("id", F.coalesce("canon", own).alias("text"))
 
 

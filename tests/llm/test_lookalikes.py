@@ -37,3 +37,22 @@ def test_coarse_key_follows_the_collation(spark):
     df = spark.createDataFrame([("ä b",), (unicodedata.normalize("NFD", "ä b"),), ("a b",)], "t string")
     a, b, c = [r[0] for r in df.select(lookalikes.coarse_key(F.col("t"))).collect()]
     assert a == b != c
+
+
+def test_unify_composes_texts_of_no_class(spark):
+    lone = unicodedata.normalize("NFD", "päivä näin, Åbo")
+    #   alone in its look; Cyrillic e and a mark; a mark behind an invisible; precomposed look-alikes
+    texts = [lone, "caf\u0435\u0301", "u\u200d\u0308ber", "\u0451lan", "\u045ees", None]
+    got = {r["id"]: r["text"] for r in lookalikes.unify(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["päivä näin, Åbo", "café", "über", "ëlan", "y\u0306es", None]
+
+
+def test_pairs_hold_to_composed_characters(spark):
+    texts = ["\u0435\u0308 one", "\u0451 one", "\u00eb one"]  # the SQL composes first, so the first is Cyrillic io
+    assert [tuple(r) for r in lookalikes.look_alike_pairs(frame(spark, texts)).collect()] == [(0, 1)]
+
+
+def test_every_uncomposed_character_is_seen(spark):
+    odd = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFC", c) != c]
+    got = lookalikes.unify(frame(spark, ["x" + c for c in odd])).collect()
+    assert len(got) == len(odd) and all(unicodedata.is_normalized("NFC", r["text"]) for r in got)
