@@ -1,7 +1,9 @@
 """Problem 3: the k most similar vectors of every vector (NN-descent over Spark joins).
 
-Vectors are scaled to unit length and kept as 8-bit codes with one scale each.
-Equal codes are one node of the graph; its copies are listed beside it.  A
+Vectors are scaled to unit length; 8-bit codes with one scale each stand for
+them where candidates are sought, after a rotation that spreads an outlying
+component.  What is found is scored again on the unit vectors themselves.
+Equal vectors are one node of the graph; its copies are listed beside it.  A
 cross-polytope hash gives every node starting neighbours: the best of those it
 shares a bucket with.  Then NN-descent: every node sends its vector to the
 nodes it is a neighbour of, in either direction; those compare all they
@@ -52,19 +54,38 @@ def _codes(x: np.ndarray, rotations: np.ndarray, sub: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _unpack(batch) -> np.ndarray:
-    q = batch.column("q").combine_chunks() if isinstance(batch, pa.Table) else batch.column("q")
+def _bytes(batch, name: str) -> tuple[np.ndarray, int]:
+    q = batch.column(name).combine_chunks() if isinstance(batch, pa.Table) else batch.column(name)
     if isinstance(q, pa.ChunkedArray):
         q = q.chunk(0) if q.num_chunks == 1 else pa.concat_arrays(q.chunks)
-    dim = len(q[0].as_py())
-    raw = np.frombuffer(q.buffers()[2], np.int8)
+    size = len(q[0].as_py())
     first = np.frombuffer(q.buffers()[1], np.int32)[q.offset]
-    x = raw[first : first + dim * len(q)].reshape(len(q), dim).astype(np.float32)
-    return x * batch.column("scale").to_numpy()[:, None]
+    return np.frombuffer(q.buffers()[2], np.int8)[first : first + size * len(q)].reshape(len(q), size), len(q)
+
+
+def _unpack(batch) -> np.ndarray:
+    """The vectors as their codes give them."""
+    return _bytes(batch, "q")[0].astype(np.float32) * batch.column("scale").to_numpy()[:, None]
+
 
+def _exact(batch, name: str = "u") -> np.ndarray:
+    """The unit vectors themselves."""
+    raw, n = _bytes(batch, name)
+    return np.frombuffer(raw.tobytes(), np.float32).reshape(n, -1)
 
-def encode(vectors: DataFrame, dim: int) -> DataFrame:
-    """``(kind, id, q, scale)`` of the usable vectors: 8-bit codes of unit length; null, all-zero, non-finite and other-length vectors are left out."""
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def encode(vectors: DataFrame, dim: int, seed: int = 5) -> DataFrame:
+    """``(kind, id, q, scale, u)`` of the usable vectors; null, all-zero, non-finite and other-length vectors are left out.
+
+    ``u`` is the vector at unit length (floats), ``q`` its 8-bit code after a
+    fixed rotation, which changes no cosine.
+    """
+    turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,14 +97,16 @@ def encode(vectors: DataFrame, dim: int) -> DataFrame:
                 top = np.abs(x).max(1)
                 ok = np.isfinite(top) & (top > 0)
                 x = x[ok] / top[ok, None]
-                codes = np.rint(x * 127).astype(np.int8)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                u = x.astype(np.float32) + np.float32(0)  # no negative zeros: equal vectors have equal bytes
+                y = x @ turn
+                codes = np.rint(y / np.abs(y).max(1, keepdims=True) * 127).astype(np.int8)
             scale = (1 / np.linalg.norm(codes.astype(np.float32), axis=1)).astype(np.float32)
-            q = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column("kind").filter(keep), b.column("id").filter(keep), q, pa.array(scale)], names=["kind", "id", "q", "scale"])
+            yield pa.RecordBatch.from_arrays([b.column("kind").filter(keep), b.column("id").filter(keep), _packed(codes), pa.array(scale), _packed(u)], names=["kind", "id", "q", "scale", "u"])
 
     usable = vectors.where(F.col("v").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda e: e.isNull()))
-    return usable.select(F.col("kind").cast("int"), F.col("id").cast("long"), F.col("v").cast("array<float>").alias("v")).mapInArrow(run, "kind int, id long, q binary, scale float")
+    return usable.select(F.col("kind").cast("int"), F.col("id").cast("long"), F.col("v").cast("array<float>").alias("v")).mapInArrow(run, "kind int, id long, q binary, scale float, u binary")
 
 
 def _top(node: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int) -> pa.RecordBatch:
@@ -239,11 +262,27 @@ def descend(nodes: DataFrame, n: int, dim: int, k: int, width: int, rounds: int,
     return graph
 
 
+def rescored(lists: DataFrame, nodes: DataFrame, askers: DataFrame, k: int) -> DataFrame:
+    """``lists`` with every similarity taken from the unit vectors ``u`` of ``askers`` and ``nodes``, best first."""
+
+    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                one = np.einsum("ij,ij->i", _exact(b, "au"), _exact(b)).astype(np.float32)
+                yield from _lists(b.column("asker").to_numpy(), b.column("node").to_numpy()[:, None], one[:, None]).to_batches()
+
+    pairs = lists.select(F.col("node").alias("asker"), F.explode("near").alias("node")).where("asker <> node")
+    both = askers.select(F.col("node").alias("asker"), F.col("u").alias("au"))
+    met = pairs.join(nodes.select("node", "u"), "node").join(both, "asker").select("asker", "node", "au", "u")
+    return _merge(met.mapInArrow(dots, LISTS), k, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def neighbour_graph(vectors: DataFrame, dim: int = 64, k: int = 16, width: int = 16, rounds: int = 3, least: float = 0.05, tables: int = 8, bucket: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(graph, members, nodes)`` of ``vectors`` = ``(kind, id, v)``, kind 0..63.
 
     ``graph``: ``(node, near, sims)``, the ``k`` nearest nodes by cosine, best
-    first; a list somewhat longer than wanted makes the descent surer.  ``members``: ``(node, kind, id)``, one row per usable vector; rows
+    first; a list somewhat longer than wanted makes the descent surer.
+    ``sims`` are cosines of the vectors themselves, not of codes.  ``members``: ``(node, kind, id)``, one row per usable vector; rows
     with equal vectors share a node (copies need not be compared).  Null,
     all-zero, non-finite and wrong-length vectors are in neither.  Length does
     not matter.  Empty input gives empty results.
@@ -252,16 +291,21 @@ def neighbour_graph(vectors: DataFrame, dim: int = 64, k: int = 16, width: int =
     scratch = Scratch(spark, "neighbours")
     coded = scratch.keep(encode(vectors, dim))
     keyed = F.shiftleft(F.min("id"), 6) + F.col("kind")
-    nodes = scratch.keep(coded.groupBy("kind", "q").agg(keyed.alias("node"), F.first("scale").alias("scale"), F.count(F.lit(1)).alias("copies")))
-    several = nodes.where("copies > 1").select("kind", "q", F.col("node").alias("shared"))
+    nodes = scratch.keep(coded.groupBy("kind", "u").agg(keyed.alias("node"), F.first("q").alias("q"), F.first("scale").alias("scale"), F.count(F.lit(1)).alias("copies")))
+    several = nodes.where("copies > 1").select("kind", "u", F.col("node").alias("shared"))
     own = F.shiftleft("id", 6) + F.col("kind")
-    members = coded.join(several, ["kind", "q"], "left").select(F.coalesce("shared", own).alias("node"), "kind", "id")
+    members = coded.join(several, ["kind", "u"], "left").select(F.coalesce("shared", own).alias("node"), "kind", "id")
     members = scratch.keep(members)
-    nodes = nodes.select("node", "q", "scale")
+    scratch.drop(coded)
+    nodes = nodes.select("node", "q", "scale", "u")
     n = nodes.count()
     if n < 2:
         return spark.createDataFrame([], LISTS), members, nodes
-    return descend(nodes, n, dim, k, width, rounds, least, tables, bucket, seed, scratch), members, nodes
+    graph = descend(nodes.select("node", "q", "scale"), n, dim, k, width, rounds, least, tables, bucket, seed, scratch)
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of the descent go before those of the scores come
+    exact = scratch.keep(rescored(graph, nodes, nodes, k))
+    scratch.drop(graph)
+    return exact, members, nodes
 
 
 def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int = 64, k: int = 10, beam: int = 48, width: int = 16, hops: int = 3, tables: int = 2, bucket: int = 4096, seed: int = 5) -> DataFrame:
@@ -278,7 +322,8 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: in
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
     sub, rotations = _sectors(n, dim, bucket), _rotations(dim, tables, seed)
-    queries = scratch.keep(queries.select("node", "q", "scale"))
+    askers = scratch.keep(queries.select("node", "q", "scale", "u"))
+    queries = askers.select("node", "q", "scale")
 
     def score(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
@@ -323,13 +368,14 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: in
         front = scratch.keep(best.select("asker", F.explode("b.node").alias("node")))
         opened = front if opened is None else opened.unionByName(front)
         reach = front.join(graph.select("node", "near"), "node").select("asker", F.explode("near").alias("node")).where("asker <> node").distinct()
-        pairs = reach.join(nodes, "node").join(ask, "asker")
+        pairs = reach.join(nodes.select("node", "q", "scale"), "node").join(ask, "asker")
         found = scratch.keep(_merge(found.unionByName(pairs.mapInArrow(compare, LISTS)), beam, parts))
-    return found.select("node", F.slice("near", 1, k).alias("near"), F.slice("sims", 1, k).alias("sims"))
+    # the whole beam is scored on the vectors themselves before it is cut
+    return rescored(found, nodes, askers, k)
 
 
 def exact_search(nodes: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
-    """``(node, near, sims)`` by comparing every query ``(node, q, scale)`` with all nodes of its kind, in blocks: the measure for recall.
+    """``(node, near, sims)`` by comparing the unit vector of every query ``(node, u)`` with all nodes of its kind, in blocks: the measure for recall.
 
     Queries are salted into blocks and nodes into as many shares as keep a pair
     of blocks small; every query meets every share once.
@@ -341,20 +387,23 @@ def exact_search(nodes: DataFrame, queries: DataFrame, k: int = 10, block: int =
     def score(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
             return _lists(*_NONE)
-        x, ids, y, mine = _unpack(asked), asked["node"].to_numpy(), _unpack(there), there["node"].to_numpy()
-        t = min(k, len(mine))
+        x, ids, y, mine = _exact(asked), asked["node"].to_numpy(), _exact(there), there["node"].to_numpy()
+        t = min(k + 1, len(mine))  # the query itself may be among them
         near, sims = [], []
         for lo in range(0, len(ids), 256):
             s = x[lo : lo + 256] @ y.T
-            s[ids[lo : lo + 256, None] == mine[None, :]] = -2
+            s[ids[lo : lo + 256, None] == mine[None, :]] = -2  # below any cosine
             at = np.argpartition(s, len(mine) - t, axis=1)[:, -t:]
             near.append(mine[at])
             sims.append(np.take_along_axis(s, at, 1))
-        return _lists(ids, np.concatenate(near), np.concatenate(sims))
+        flat, cos = np.concatenate(near).ravel(), np.concatenate(sims).ravel()
+        asker = np.repeat(ids, t)
+        other = asker != flat
+        return pa.Table.from_batches([_top(asker[other], flat[other], cos[other], k)])
 
     kind = F.col("node").bitwiseAND(63).alias("kind")
-    a = queries.select("node", "q", "scale", kind, F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("s"))
-    b = nodes.select("node", "q", "scale", kind, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shares)).cast("int").alias("s"))
+    a = queries.select("node", "u", kind, F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("s"))
+    b = nodes.select("node", "u", kind, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shares)).cast("int").alias("s"))
     met = a.groupBy("kind", "g", "s").cogroup(b.groupBy("kind", "g", "s")).applyInArrow(score, LISTS)
     return _merge(met, k, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -75,3 +75,39 @@ def test_search(spark):
     assert len(exact) == len(found) == 100
     assert np.mean([len(set(exact[n]) & set(found[n])) / 10 for n in exact]) >= 0.95
     assert neighbours.graph_search(graph, nodes, asked.limit(0), dim=16).collect() == []
+
+
+def skewed(n, dim, rng):
+    x = rng.standard_normal((n, dim))
+    x[:, 3] *= 100
+    return x.astype(np.float32)
+
+
+def cosines(x):
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    return s
+
+
+def test_scores_are_those_of_the_vectors(spark):
+    x = clustered(1000, 32, np.random.default_rng(8))
+    graph, _, nodes = neighbours.neighbour_graph(frame(spark, x), dim=32, bucket=128, tables=3)
+    s = cosines(x)
+    asked = nodes.where("node % 1280 = 0")
+    found = [*graph.collect(), *neighbours.graph_search(graph, nodes, asked, dim=32, bucket=128).collect(), *neighbours.exact_search(nodes, asked).collect()]
+    for r in found:
+        i, near = r["node"] >> 6, [n >> 6 for n in r["near"]]
+        assert i not in near and np.allclose(s[i, near], r["sims"], atol=1e-6)
+
+
+def test_one_component_outlies(spark):
+    x = skewed(1500, 32, np.random.default_rng(9))
+    graph, members, nodes = neighbours.neighbour_graph(frame(spark, x), dim=32, bucket=1024)
+    truth = np.argsort(-cosines(x), 1)[:, :10]
+    assert nodes.count() == 1500 == members.select("node").distinct().count()  # different vectors stay different
+    asked = nodes.where("node % 1280 = 0")
+    share = lambda df: np.mean([len(set(truth[r["node"] >> 6]) & {n >> 6 for n in r["near"][:10]}) / 10 for r in df.collect()])
+    assert share(neighbours.exact_search(nodes, asked)) > 0.995
+    print("graph", share(graph), "search", share(neighbours.graph_search(graph, nodes, asked, dim=32, bucket=1024)))
+    assert share(graph) > 0.8 and share(neighbours.graph_search(graph, nodes, asked, dim=32, bucket=1024)) > 0.9
