@@ -381,6 +381,7 @@ def exact_search(nodes: DataFrame, queries: DataFrame, k: int = 10, block: int =
     of blocks small; every query meets every share once.
     """
     spark = nodes.sparkSession
+    queries = Scratch(spark, "exact").keep(queries.select("node", "u"))
     n, m = nodes.count(), queries.count()
     shares, groups = max(1, n // 20_000), max(1, m // block)
 

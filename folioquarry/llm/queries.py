@@ -60,27 +60,37 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return members.join(lists, "node", "left").select(_kind(), "id", F.shiftright("node", 6).alias("class_id"), "copies", "neighbours", "distances")
 
 
-def _asked(nodes: DataFrame) -> DataFrame:
-    """The stated query set: every row whose id is divisible by 20."""
-    return nodes.where(F.shiftright("node", 6) % 20 == 0)
+def _asked(members: DataFrame) -> DataFrame:
+    """The stated query set, ``(node, kind, id)``: every row whose id is divisible by 20, copies of another row among them."""
+    return members.where(F.col("id") % 20 == 0)
 
 
 def p3_search(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy graph search of the rows whose id is divisible by 20 against all rows."""
-    graph, _, nodes = neighbours.neighbour_graph(_vectors(spark, d))
-    found = neighbours.graph_search(graph, nodes, _asked(nodes))
-    hits = found.select(F.col("node").bitwiseAND(63).alias("kind"), F.shiftright("node", 6).alias("id"), F.posexplode(F.arrays_zip("near", "sims")).alias("rank", "e"))
-    return hits.select(_kind(), "id", (F.col("rank") + 1).alias("rank"), F.shiftright("e.near", 6).alias("neighbour_id"), F.round(1 - F.col("e.sims"), 3).alias("distance"))
+    """Greedy graph search of the rows whose id is divisible by 20 against all rows.
+
+    Equal vectors are searched and found once, as the class named by its
+    smallest id: ``copies`` rows are in the query's own, ``neighbour_copies`` in
+    the one found.  ``p3_neighbours`` names the class of every row.
+    """
+    graph, members, nodes = neighbours.neighbour_graph(_vectors(spark, d))
+    asked = _asked(members)
+    found = neighbours.graph_search(graph, nodes, nodes.join(asked.select("node").distinct(), "node", "left_semi"))
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    hits = found.select("node", F.posexplode(F.arrays_zip("near", "sims")).alias("rank", "e")).select("node", "rank", "e.near", "e.sims")
+    hits = hits.join(sizes.select(F.col("node").alias("near"), F.col("copies").alias("neighbour_copies")), "near")
+    rows = asked.join(sizes, "node").join(hits, "node", "left")  # a row that finds nothing is still answered
+    return rows.select(_kind(), "id", F.shiftright("node", 6).alias("class_id"), "copies", (F.col("rank") + 1).alias("rank"), F.shiftright("near", 6).alias("neighbour_id"), "neighbour_copies", F.round(1 - F.col("sims"), 3).alias("distance"))
 
 
 def p3_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the exact ten nearest that graph and search return, over the same query set, compared in blocks."""
-    graph, _, nodes = neighbours.neighbour_graph(_vectors(spark, d))
-    asked = _asked(nodes)
+    """Share of the exact ten nearest that graph and search return, over the same query rows, compared in blocks."""
+    graph, members, nodes = neighbours.neighbour_graph(_vectors(spark, d))
+    rows = _asked(members)
+    asked = nodes.join(rows.select("node").distinct(), "node", "left_semi")
     exact = neighbours.exact_search(nodes, asked).select("node", F.col("near").alias("true"))
     lists = graph.select("node", F.slice("near", 1, 10).alias("listed"))
     found = neighbours.graph_search(graph, nodes, asked).select("node", F.col("near").alias("searched"))
-    both = exact.join(lists, "node", "left").join(found, "node", "left").withColumn("kind", F.col("node").bitwiseAND(63))
+    both = rows.join(exact, "node").join(lists, "node", "left").join(found, "node", "left")
     share = lambda c: F.round(F.sum(F.size(F.array_intersect("true", F.coalesce(c, F.array().cast("array<long>"))))) / F.sum(F.size("true")), 4)
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("queries"), share("listed").alias("graph_recall"), share("searched").alias("search_recall")).select(_kind(), "queries", "graph_recall", "search_recall")
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from folioquarry.llm import neighbours
+from folioquarry.llm import neighbours, queries
 
 SCHEMA = "kind int, id long, v array<float>, node string"
 
@@ -111,3 +111,14 @@ def test_one_component_outlies(spark):
     assert share(neighbours.exact_search(nodes, asked)) > 0.995
     print("graph", share(graph), "search", share(neighbours.graph_search(graph, nodes, asked, dim=32, bucket=1024)))
     assert share(graph) > 0.8 and share(neighbours.graph_search(graph, nodes, asked, dim=32, bucket=1024)) > 0.9
+
+
+def test_every_stated_row_is_asked(spark, monkeypatch):
+    x = np.random.default_rng(10).standard_normal((200, 64))
+    x[100:140] = x[19]  # 100 and 120 are copies of 19
+    monkeypatch.setattr(queries, "_vectors", lambda spark, d: frame(spark, x))
+    rows = queries.p3_search(spark, "").collect()
+    assert {r["id"] for r in rows} == set(range(0, 200, 20))
+    assert {(r["class_id"], r["copies"]) for r in rows if r["id"] in (100, 120)} == {(19, 41)}
+    assert all(r["neighbour_copies"] == (41 if r["neighbour_id"] == 19 else 1) for r in rows if r["rank"])
+    assert [r["queries"] for r in queries.p3_recall(spark, "").collect()] == [10]
