@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ class Index:
 
     vocab: dict[str, int]
     codes: list[np.ndarray]
-    ids: list[int]
+    ids: list[list[int]]  # per item, the ids its text stands under
     keys: list[np.ndarray]  # per repetition, sorted
     owners: list[np.ndarray]  # per repetition: item position of each key
     bits: np.ndarray  # repetition x step x word
@@ -79,14 +80,42 @@ def _keys(codes: np.ndarray, starts: np.ndarray, bits: np.ndarray, samples: np.n
     return key
 
 
-def build_index(items: list[tuple[int, str]], boilerplate: set[str], window: int, repetitions: int, sampled: int, seed: int) -> Index:
+def _lines(text: str) -> list[str]:
+    return [x.strip() for x in text.splitlines() if x.strip()]
+
+
+def _digest(lines: list[str]) -> bytes:
+    return blake2b("\n".join(lines).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def openings(texts: Iterable[str], run: int) -> set[bytes]:
+    """Digests of the lines texts open with that are instructions: two or more different passages follow them, and none is a run in itself."""
+    after: dict[bytes, set[bytes]] = {}
+    for text in texts:
+        lines = _lines(text)
+        for j in range(1, len(lines)):
+            if len(normal_words(lines[j - 1])) >= run:
+                break
+            rest = normal_words("\n".join(lines[j:]))
+            seen = after.setdefault(_digest(lines[:j]), set())
+            if rest and len(seen) < 2:
+                seen.add(_digest(rest))
+    return {opening for opening, rests in after.items() if len(rests) > 1}
+
+
+def passage(text: str, instructions: set[bytes]) -> str:
+    """The text without the longest instruction it opens with."""
+    lines = _lines(text)
+    return "\n".join(lines[max((j for j in range(1, len(lines) + 1) if _digest(lines[:j]) in instructions), default=0) :])
+
+
+def build_index(items: list[tuple[list[int], str]], instructions: set[bytes], window: int, repetitions: int, sampled: int, seed: int) -> Index:
     vocab: dict[str, int] = {}
     codes, ids = [], []
-    for item_id, text in items:
-        own = "\n".join(x for x in (text or "").splitlines() if x.strip() not in boilerplate)
-        words = normal_words(own)
+    for item_ids, text in items:
+        words = normal_words(passage(text, instructions))
         if words:
-            ids.append(item_id)
+            ids.append(item_ids)
             codes.append(np.array([vocab.setdefault(w, len(vocab) + 1) for w in words], np.int64))
     rng = np.random.default_rng(seed)
     bits = rng.integers(0, 2, (repetitions, 2 * window, len(vocab) + 2), np.int64)
@@ -162,7 +191,7 @@ def scan_text(text: str, index: Index, run: int, unknown: int) -> list[tuple[int
                     best = max(best, alignment(item, codes[lo:hi]))
                 begin = j
         if best >= need:
-            out.append((index.ids[i], best))
+            out += [(item_id, best) for item_id in index.ids[i]]
     return out
 
 
@@ -174,20 +203,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     ``score`` is that of the best alignment: matched words less two for each
     word edit; it must reach ``run`` - 1, so every clean run passes, longer runs
     with a changed word here and there do, and the short phrases of a common
-    style don't.  Items shorter than a run must match whole.  Lines that several
-    items share (instructions) are not part of a passage.  Null and empty
+    style don't.  Items shorter than a run must match whole.  Lines that
+    different passages open with (instructions) are not part of a passage; an
+    item of nothing else has none.  Equal texts are one item, reported under each id.  Null and empty
     texts on either side match nothing; repeated rows give repeated results of
     their own.
     """
     spark = docs.sparkSession
-    lines = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.explode(F.split(item_text, r"\r?\n")).alias("line"))
-    shared = {r["line"] for r in lines.select("i", F.trim("line").alias("line")).where("line <> ''").groupBy("line").agg(F.countDistinct("i").alias("n")).where("n > 1").collect()}
+    texts = items.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("t")).agg(F.array_sort(F.collect_list(F.col(item_id).cast("long"))).alias("ids"))
+    instructions = openings((r["t"] for r in texts.select("t").toLocalIterator()), run)
     src = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
     schema = "doc_id long, item_id long, score int"
-    block: list[tuple[int, str]] = []
+    block: list[tuple[list[int], str]] = []
 
-    def scan(block: list[tuple[int, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(build_index(block, shared, window, repetitions, sampled, seed))
+    def scan(block: list[tuple[list[int], str]]) -> DataFrame:
+        index = spark.sparkContext.broadcast(build_index(block, instructions, window, repetitions, sampled, seed))
 
         def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -198,8 +228,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
         return src.mapInArrow(body, schema)
 
     parts = []
-    for row in items.select(F.col(item_id).cast("long"), item_text).orderBy(item_id).toLocalIterator():
-        block.append((row[0], row[1]))
+    for row in texts.orderBy("ids").toLocalIterator():
+        block.append((row["ids"], row["t"]))
         if len(block) == item_block:
             parts.append(scan(block))
             block = []

@@ -64,3 +64,15 @@ def test_find(spark):
     blocks = leakage.find_leaks(df, it, item_block=7).collect()
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == want
     assert leakage.find_leaks(df, it.limit(0)).collect() == [] and leakage.find_leaks(df.limit(0), it).collect() == []
+
+
+def test_repeated_items_keep_their_passage(spark):
+    rng = random.Random(6)
+    one, two, three = (" ".join(passage(rng, 40)) for _ in range(3))
+    head = "Read the text below."
+    items = [(1, f"{head}\n{one}"), (2, f"{head}\n{one}"), (3, f"Choose the answer.\n{two}"), (4, f"Fill the gaps.\n{two}"), (5, f"{head}\n{three}")]
+    docs = [(d, " ".join(passage(rng, 60)) + " " + x + " " + " ".join(passage(rng, 60))) for d, x in enumerate([one, two, three, head])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(df, it).collect()}
+    assert got == {(0, 1), (0, 2), (1, 3), (1, 4), (2, 5)}
