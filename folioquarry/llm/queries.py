@@ -113,7 +113,7 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, d, "chunks")).select("chunk_id", "boundary").distinct()
+    return splitting.split_oversized(table(spark, d, "chunks"), blank=True).select("chunk_id", "boundary").distinct()
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:

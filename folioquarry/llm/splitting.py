@@ -131,13 +131,14 @@ def split_text(text: str, page_start: int | None, page_end: int | None, limit: i
     return grade, out
 
 
-def split_oversized(chunks: DataFrame, id_col: str = "id", text_col: str = "content", limit: int = 2400, overlap: int = 240, chars_per_token: int = 4) -> DataFrame:
+def split_oversized(chunks: DataFrame, id_col: str = "id", text_col: str = "content", limit: int = 2400, overlap: int = 240, chars_per_token: int = 4, blank: bool = False) -> DataFrame:
     """Pieces ``(chunk_id, boundary, piece, begin, content, page_start, page_end, token_count)`` of all rows over the limit.
 
     Rows at or under the limit, with null or empty text give no pieces; null
     pages stay null; a null or wrong stored token count is not looked at.
     White space at a piece's ends is left out; form feeds count pages.  A text
-    of white space only gives no pieces.  Repeated rows are split alike.
+    of white space only gives no pieces, or with ``blank`` one empty piece with its
+    boundary.  Repeated rows are split alike.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,6 +147,8 @@ def split_oversized(chunks: DataFrame, id_col: str = "id", text_col: str = "cont
             for cid, text, p0, p1 in pdf.itertuples(index=False, name=None):
                 p0, p1 = (None if pd.isna(x) else int(x) for x in (p0, p1))
                 grade, pieces = split_text(text, p0, p1, limit, overlap, chars_per_token)
+                if blank and not pieces:
+                    pieces = [(0, 0, 0, "", p0, p1, 0)]
                 rows += [(cid, grade, i, x[0], *x[3:]) for i, x in enumerate(pieces)]
             out = pd.DataFrame(rows, columns=["chunk_id", "boundary", "piece", "begin", "content", "page_start", "page_end", "token_count"])
             yield out.astype({c: "Int64" for c in ("piece", "begin", "page_start", "page_end", "token_count")})

@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioquarry.llm import splitting
+from folioquarry.llm import queries, splitting
 
 
 def grade(text, limit):
@@ -56,3 +56,9 @@ def test_frame(spark):
 def test_very_long_text():
     _, pieces = splitting.split_text("ab cd. " * 60_000, 1, 1)
     assert all(len(p[3]) <= 2400 for p in pieces)
+
+
+def test_found_keeps_blank_chunks(spark, monkeypatch):
+    df = spark.createDataFrame([(5, " " * 3000, 1, 2), (6, "short", 1, 1)], "id long, content string, page_start int, page_end int")
+    monkeypatch.setattr(queries, "table", lambda *a: df)
+    assert [tuple(r) for r in queries.p5_found(spark, "").collect()] == [(5, "paragraph")]
