@@ -68,17 +68,30 @@ def test_against_all_pairs(spark, hot):
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.integers(0, 10_000), st.integers(2, 40), st.integers(2, 7))
-def test_winner_survives_any_fold(spark, seed, n, fold):
+@given(st.integers(0, 10_000), st.integers(2, 40), st.sampled_from([100_000, 7]))
+def test_winner_survives_the_rounds(spark, seed, n, hot):
     groups = made(np.random.default_rng(seed), [n, n])
+    # arms that all agree leave a quarter of the group above the bound, round by round
+    groups[2] = {i: [float(i)] * 4 for i in range(n)}
     _, wins = brute(groups)
     wide = outranking.wide_scores(frame(spark, groups), ARMS)
-    got = outranking.clear_winners(wide, outranking.net_flow(wide, 4), 4, 3, fold=fold).collect()
+    got = outranking.clear_winners(wide, outranking.flows(wide, 4), 4, 3, hot=hot).collect()
     assert sorted((r["g"], r["item"]) for r in got) == sorted((g, i) for g, w in wins.items() for i in w)
 
 
+def test_winners_come_from_the_flow(spark):
+    """Candidates are those with enough step flow: with the flows turned round nobody is found."""
+    groups = made(np.random.default_rng(3), [9, 9, 9, 9])
+    wide = outranking.wide_scores(frame(spark, groups), ARMS)
+    found = outranking.flows(wide, 4)
+    assert outranking.clear_winners(wide, found, 4, 3).count() >= 2
+    assert outranking.clear_winners(wide, found.withColumn("step", -found["step"]), 4, 3).count() == 0
+    with pytest.raises(ValueError):
+        outranking.clear_winners(wide, found, 4, 2)
+
+
 def test_empty_and_nan(spark):
     assert outranking.rank_items(outranking.wide_scores(spark.createDataFrame([], SCHEMA), ARMS), 4).collect() == []
     rows = [(1, 1, "a", float("nan"), None, None), (1, 2, "a", -5.0, None, None)]
-    got = outranking.rank_items(outranking.wide_scores(spark.createDataFrame(rows, SCHEMA), ARMS), 4, need=1).orderBy("position").collect()
+    got = outranking.rank_items(outranking.wide_scores(spark.createDataFrame(rows, SCHEMA), ARMS[:1]), 1, need=1).orderBy("position").collect()
     assert [r["item"] for r in got] == [2, 1] and got[0]["clear"]
