@@ -132,21 +132,39 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return mixing.count_tokens(table(spark, d, "documents"), "doc_id", "text", "source")
 
 
+#: How far a source of the mix may stand above its target share.
+OVER = 0.02
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
-    return report.where(~F.col("reachable")).select("source")
+    targets = table(spark, d, "mix_targets")
+    copies, _ = mixing.mix(_sizes(spark, d), targets)  # as large as all texts
+    return mixing.short_sources(copies, targets)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+    _, report = mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"), over=OVER)
     return report
 
 
 def p7_copies(spark: SparkSession, d: str) -> DataFrame:
-    copies, _ = mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+    copies, _ = mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"), over=OVER)
     return copies.select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
 
 
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source whether the mix keeps its promises: due no more than ``OVER`` above its share, below it only when used up, and given as many copies as due to one."""
+    copies, report = mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"), over=OVER)
+    given = copies.where("tokens > 0").groupBy("source").agg(F.sum("copies").alias("given"), F.count(F.lit(1)).alias("live"))
+    due = report.join(given, "source", "left").withColumn("due", F.col("copies_due") * F.col("tokens")).withColumn("able", F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0))
+    whole = due.agg(F.sum("due").alias("all_due"), F.sum("able").alias("able_share"))
+    share = F.col("due") / F.col("all_due")
+    exhausted = (F.col("tokens") == 0) | (F.col("copies_due") >= F.col("max_repeats"))
+    return due.crossJoin(F.broadcast(whole)).select(  # one row
+        "source", (share * F.col("able_share") <= F.col("target_share") * (1 + OVER) + 1e-9).alias("not_above"), (exhausted | (share >= F.col("target_share") - 1e-9)).alias("not_below"),
+        (F.abs(F.coalesce("given", F.lit(0)) - F.col("copies_due") * F.coalesce("live", F.lit(0))) <= 1 + 1e-6).alias("exact_copies"), (F.coalesce("most_copies", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, d, "documents"))
 
@@ -155,7 +173,7 @@ def p8_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p3_search, p3_recall, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p8_found, p8_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p3_search, p3_recall, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p7_shares, p8_found, p8_unified)}
 
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -190,6 +208,7 @@ ORACLE = {
     # no case hangs on the tokenizer, so characters stand for tokens here
     "p7_found": """WITH n AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1)
   SELECT t.source FROM mix_targets t LEFT JOIN n ON n.source = t.source WHERE coalesce(n.n, 0) * max_repeats < target_share * (SELECT sum(n) FROM n)""",
+    "p7_shares": "SELECT lower(trim(source)) AS source, true AS not_above, true AS not_below, true AS exact_copies, true AS within_cap FROM mix_targets",
     "p8_found": f"""WITH t AS (SELECT doc_id, text, {_looks_sql()} AS look FROM documents WHERE regexp_replace(text, '{_WHITE}+', '', 'g') <> '')
   SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
 }
