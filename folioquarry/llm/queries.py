@@ -128,6 +128,11 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The recall the search is built for, and the repetitions that follow from it."""
+    return leakage.recall_plan(spark)
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return mixing.count_tokens(table(spark, d, "documents"), "doc_id", "text", "source")
 
@@ -173,7 +178,7 @@ def p8_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p3_search, p3_recall, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_copies, p7_shares, p8_found, p8_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p3_search, p3_recall, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p6_recall, p7_found, p7_mix, p7_copies, p7_shares, p8_found, p8_unified)}
 
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
