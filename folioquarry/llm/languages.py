@@ -7,7 +7,8 @@ sentence, a quoted sentence, a running line), units of one language into
 stretches with a confidence.
 
 The model is fitted here, on a bounded sample of labelled documents
-(``sample_docs``).  Their labels are only a start: sentence labels are
+(``sample_docs``), once per session and table.  Their labels are only a start:
+sentences with clear common words are labelled by those, and all labels are
 re-estimated by a word model until they agree with the words.  Everything else
 runs over all rows and whole texts.
 """
@@ -30,7 +31,9 @@ from .lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, INVISIBLE
 
 LANGUAGES = ("en", "fi", "sv", "da", "de", "fr")
 BUCKETS = 1 << 17
+#: Words that make a line running text; a sentence with capital and full stop may be shorter.
 MIN_WORDS = 5
+SHORT_SENTENCE = 2
 _MARKS = "̀-ͯ­​-‏⁠﻿"
 #: A word, or one character that ends a unit.
 TOKEN = re.compile(rf"(?<![\w/+=])(?:[^\W\d_]|[{_MARKS}])+(?![\w/+=])|[\n\r\f|;“”„\"«»()\[\]]|[.!?](?=[\s\"”»)\]]|$)")
@@ -138,8 +141,21 @@ def _sentences(text: str) -> list[list[str]]:
     return out
 
 
+def _votes(sentence: list[str]) -> np.ndarray:
+    """Per language the common words of it in the sentence, with or without their accents."""
+    return np.array([sum(w in _LEXED[lang] or w in _BARE[lang] for w in sentence) for lang in LANGUAGES])
+
+
 def _settle(sentences: list[list[str]], labels: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence labels re-estimated by a word model, starting from the documents' labels; and their margins."""
+    """Sentence labels re-estimated by a word model, and their margins.
+
+    The start is the language that leads by two or more common words, else the
+    document's label: a line that stands in documents of other languages only
+    would confirm itself with their label for ever.
+    """
+    votes = np.array([_votes(s) for s in sentences])
+    ranked = np.sort(votes, 1)
+    labels = np.where(ranked[:, -1] - ranked[:, -2] >= 2, votes.argmax(1), labels)
     vocab: dict[str, int] = {}
     flat = np.array([vocab.setdefault(_bare(w), len(vocab)) for s in sentences for w in s])
     at = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
@@ -238,38 +254,73 @@ def fit(texts: list[str], labels: list[str], epochs: int = 40, seed: int = 3, ma
     return Model(weights, moves.astype(np.float32), start.astype(np.float32))
 
 
+_FITTED: dict[tuple, Model] = {}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1_500) -> Model:
-    """Fit on at most ``sample_docs`` labelled documents, chosen by a hash of the id (the same at any size of the table)."""
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label_of(F.col(lang_col)).alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
-    chosen = labelled.orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()
-    return fit([r["text"] for r in chosen], [r["label"] for r in chosen])
+    """Fit on at most ``sample_docs`` labelled documents, chosen by a hash of the id (the same at any size of the table).
+
+    Only rows below a hash threshold, about one and a half times the sample,
+    leave the tasks, however many tasks there are.  Of copies of one text one is
+    used.  A table is fitted on once per session.
+    """
+    key = (docs.sparkSession.sparkContext.applicationId, docs.semanticHash(), id_col, text_col, lang_col, sample_docs)
+    if key not in _FITTED:
+        label = label_of(F.col(lang_col))
+        n = docs.where(label.isNotNull()).count()
+        near = F.pmod(F.xxhash64(id_col), F.lit(1 << 32))
+        bound = (1 << 32) if n <= 2 * sample_docs else int((1 << 32) * (1.5 * sample_docs + 100) / n)
+        few = docs.where(label.isNotNull() & (near < bound) & F.col(text_col).isNotNull()).groupBy(F.xxhash64(text_col).alias("t")).agg(
+            F.min(F.struct(near.alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.alias("label"))).alias("d"))
+        chosen = few.orderBy("d.h", "d.id").limit(sample_docs).select("d.text", "d.label").collect()
+        _FITTED[key] = fit([r["text"] for r in chosen], [r["label"] for r in chosen])
+    return _FITTED[key]
+
+
+def _runs(mass: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a unit in one language each, from its words' distributions: cut where that explains at least four words more."""
+    n = len(mass)
+    if n < 2 * MIN_WORDS:
+        return [(0, n)]
+    sums = np.concatenate([np.zeros((1, mass.shape[1])), np.cumsum(mass, 0)])
+    cuts = np.arange(MIN_WORDS, n - MIN_WORDS + 1)
+    left, right = sums[cuts], sums[n] - sums[cuts]
+    gain = left.max(1) + right.max(1)
+    at = int(gain.argmax())
+    if gain[at] - sums[n].max() < 4 or left[at].max() < 0.6 * cuts[at] or right[at].max() < 0.6 * (n - cuts[at]):
+        return [(0, n)]
+    cut = int(cuts[at])
+    return _runs(mass[:cut]) + [(a + cut, b + cut) for a, b in _runs(mass[cut:])]
 
 
 def _tag_batch(texts: list[str | None], emit_of, table: list, cache: dict, model: Model) -> list[list[tuple]]:
     """Stretches ``(begin, end, language, confidence, words, whole)`` of each text."""
-    words_of, units_of, spans_of = [], [], []
+    words_of, units_of, spans_of, closed_of = [], [], [], []
     for text in texts:
-        ids, ends, spans = [], [], []
+        ids, ends, spans, closed = [], [], [], []
         begin = None
         for m in TOKEN.finditer(text or ""):
             tok = m.group()
             if len(tok) == 1 and not tok.isalpha():
                 if begin is not None:
                     ends.append(len(ids))
-                    spans.append((begin, last))
+                    spans.append(places)
+                    closed.append(tok in ".!?" and text[begin].isupper())
                     begin = None
                 continue
             k = cache.get(tok)
             if k is None:
                 k = emit_of(tok)
             ids.append(k)
-            last = m.end()
             if begin is None:
-                begin = m.start()
+                begin, places = m.start(), []
+            places.append((m.start(), m.end()))
         if begin is not None:
             ends.append(len(ids))
-            spans.append((begin, last))
+            spans.append(places)
+            closed.append(False)
         words_of.append(ids)
+        closed_of.append(closed)
         units_of.append(ends)
         spans_of.append(spans)
     emission = np.asarray(table, np.float32)
@@ -291,12 +342,21 @@ def _tag_batch(texts: list[str | None], emit_of, table: list, cache: dict, model
             starts = np.concatenate([[0], ends[:-1]])
             n = ends - starts
             mass = np.add.reduceat(gamma[r, : lens[r]], starts)
+            spans = [(p[0][0], p[-1][1]) for p in spans_of[i]]
+            closed = closed_of[i]
+            mixed = (n >= 2 * MIN_WORDS) & (mass.max(1) < n - 4)
+            if mixed.any():  # a unit that goes on in another language is as many units
+                parts = [(u, a, b) for u in range(len(n)) for a, b in (_runs(gamma[r, starts[u] : ends[u]]) if mixed[u] else [(0, n[u])])]
+                spans = [(spans_of[i][u][a][0], spans_of[i][u][b - 1][1]) for u, a, b in parts]
+                closed = [closed[u] for u, _, _ in parts]
+                n = np.array([b - a for _, a, b in parts])
+                mass = np.add.reduceat(gamma[r, : lens[r]], np.array([starts[u] + a for u, a, _ in parts]))
             best = mass.argmax(1)
             conf = mass[np.arange(len(best)), best]
             # a stretch: neighbouring units of one language; a scrap in between goes with the stretch it stands in
             rows = out[i]
-            for (b, e), k, c, w, v in zip(spans_of[i], best.tolist(), conf.tolist(), n.tolist(), mass.tolist()):
-                whole = w >= MIN_WORDS and c >= 0.6 * w
+            for (b, e), k, c, w, v, end in zip(spans, best.tolist(), conf.tolist(), n.tolist(), mass.tolist(), closed):
+                whole = c >= 0.6 * w if w >= MIN_WORDS else end and w >= SHORT_SENTENCE and c >= 0.8 * w
                 if rows and (rows[-1][2] == k or not whole):
                     p = rows[-1]
                     rows[-1] = (p[0], e, p[2], p[3] + v[p[2]], p[4] + w, p[5] or (whole and k == p[2]))
@@ -311,8 +371,8 @@ def _tag_batch(texts: list[str | None], emit_of, table: list, cache: dict, model
 def stretches(texts: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, *keep, stretch, begin, stop, lang, confidence, words, whole)``: one row per stretch in one language.
 
-    ``whole`` tells whether it holds a whole sentence or running line of at
-    least five words.  A text without words (null, empty, codes, numbers) gives
+    ``whole`` tells whether it holds a running line of at least five words or a
+    whole sentence, with capital and end mark, of at least two.  A text without words (null, empty, codes, numbers) gives
     one row with null language.  Texts of any length are read whole; repeated
     rows are tagged alike.
     """
