@@ -2,8 +2,9 @@
 
 Each scan partition packs its own items best-fit decreasing, block by block, and
 emits the nearly full bins.  Under-full bins travel on as items of their own
-(their fill is their size) and are packed again in fewer, still bounded, tasks
-until one task holds them all or a round no longer merges anything.
+(their fill is their size) up a tree: each level joins ``fan_in`` tasks of the
+one below into one, packs what they passed on, and passes on the emptiest of
+what is still under-full, a bounded number, until one task is left.
 Only (id, piece, size) leaves the JVM, never a text.
 """
 
@@ -28,6 +29,7 @@ _BIN = T.StructType([
     T.StructField("ids", T.ArrayType(T.LongType())),
     T.StructField("pieces", T.ArrayType(T.IntegerType())),
     T.StructField("costs", T.ArrayType(T.IntegerType())),
+    T.StructField("node", T.IntegerType()),
 ])
 
 
@@ -60,11 +62,12 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packer(capacity: int, slack: int, round_no: int, last: bool):
+def _packer(capacity: int, slack: int, round_no: int, last: bool, pass_on: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = (round_no << 56) | (TaskContext.get().partitionId() << 32)
+        node = TaskContext.get().partitionId()
+        base = (round_no << 56) | (node << 32)
         made = 0
         held: list[pa.RecordBatch] = []
 
@@ -86,9 +89,13 @@ def _packer(capacity: int, slack: int, round_no: int, last: bool):
             take = np.arange(n.sum()) + np.repeat(starts[order] - (np.cumsum(n) - n), n)
             offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(n, first))]).astype(np.int32)
             closed = np.ones(len(bins), bool) if last else total >= capacity - slack
+            under = np.nonzero(~closed)[0]
+            if len(under) > pass_on:  # the emptiest have the best chance to meet a mate
+                closed[under[np.argsort(total[under], kind="stable")[pass_on:]]] = True
             values = [x.values.to_numpy(zero_copy_only=False)[take] for x in lists]
             arrays = [pa.array(closed), pa.array(base + made + np.arange(len(bins))), pa.array(total.astype(np.int32))]
             arrays += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+            arrays.append(pa.array(np.full(len(bins), node, np.int32)))
             made += len(bins)
             return pa.RecordBatch.from_arrays(arrays, names=_BIN.names)
 
@@ -104,7 +111,7 @@ def _packer(capacity: int, slack: int, round_no: int, last: bool):
 
 
 def pack_requests(items: DataFrame, id_col: str, text_col: str, capacity: int = 1024, chars_per_token: int = 4,
-                  slack: int | None = None, open_per_task: int = 20_000) -> DataFrame:
+                  slack: int | None = None, open_per_task: int = 20_000, fan_in: int = 16) -> DataFrame:
     """Requests as ``(request_id, fill, ids, pieces, costs)``, one row per request.
 
     The size of an item is the characters of ``text_col`` div ``chars_per_token``
@@ -113,8 +120,9 @@ def pack_requests(items: DataFrame, id_col: str, text_col: str, capacity: int =
     other item is split.  Null texts have nothing to embed and are in no
     request; an empty text costs 1.  Repeated rows are items of their own.
     Empty input gives no requests.  ``slack``: bins with at most that much free
-    count as nearly full (default capacity/128).  ``open_per_task`` bounds the
-    under-full bins one merge task sees.
+    count as nearly full (default capacity/128).  A task passes on at most
+    ``open_per_task`` under-full bins for each block it packs; those beyond are
+    requests as they are.
     """
     spark = items.sparkSession
     slack = capacity // 128 if slack is None else slack
@@ -127,29 +135,24 @@ def pack_requests(items: DataFrame, id_col: str, text_col: str, capacity: int =
     )
     bins = pieces.select(
         F.lit(False).alias("closed"), F.lit(0).cast("long").alias("request_id"), F.col("c").alias("fill"),
-        F.array("id").alias("ids"), F.array("piece").alias("pieces"), F.array("c").alias("costs"))
+        F.array("id").alias("ids"), F.array("piece").alias("pieces"), F.array("c").alias("costs"), F.lit(0).alias("node"))
     scratch = Scratch(spark, "packing")
     done: list[DataFrame] = []
-    before, parts = None, 0
-    round_no = 0
+    round_no, parts = 0, 0
     while True:
-        last = round_no > 0 and parts == 1
-        out = scratch.keep(bins.mapInArrow(_packer(capacity, slack, round_no, last), _BIN))
+        last = parts == 1
+        out = scratch.keep(bins.mapInArrow(_packer(capacity, slack, round_no, last, open_per_task), _BIN))
         done.append(out.where("closed"))
         opened = out.where(~F.col("closed"))
-        n_open = 0 if last else opened.count()
-        if not n_open:
+        nodes = 0 if last else opened.agg(F.max("node")).first()[0]
+        if last or nodes is None:
             break
-        if before is not None and n_open > 0.98 * before:
-            done.append(opened)  # nothing left to merge: they stay requests as they are
-            break
-        before, round_no = n_open, round_no + 1
-        parts = math.ceil(n_open / open_per_task)
-        bins = opened.repartition(parts, F.element_at("ids", 1), F.element_at("pieces", 1))
+        round_no, parts = round_no + 1, nodes // fan_in + 1
+        bins = opened.repartition(parts, F.floor(F.col("node") / fan_in))
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
-    return result.drop("closed")
+    return result.drop("closed", "node")
 
 
 def assignments(requests: DataFrame) -> DataFrame:

@@ -19,6 +19,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.assignments(req).where("piece > 1").select("chunk_id").distinct()
 
 
+def p1_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """Per chunk its pieces and tokens over all requests, and whether each of these keeps the capacity."""
+    req = packing.pack_requests(table(spark, d, "chunks"), "id", "content")
+    parts = packing.assignments(req).join(req.select("request_id", "fill"), "request_id")
+    return parts.groupBy("chunk_id").agg(F.count_distinct("piece").alias("pieces"), F.sum("tokens").alias("tokens"), (F.max("fill") <= 1024).alias("fits"))
+
+
+def p1_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: tokens packed, the fewest requests that could hold them, and whether ours are at most 5 % more."""
+    req = packing.pack_requests(table(spark, d, "chunks"), "id", "content")
+    least = F.ceil(F.sum("fill") / 1024)
+    return req.agg(F.sum("fill").cast("long").alias("tokens"), least.alias("least_requests"), (F.count(F.lit(1)) <= 1.05 * least).alias("within_5_percent"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return languages.mislabelled_chunks(table(spark, d, "chunks"), docs, languages.train(docs))
@@ -178,7 +192,17 @@ def p8_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p3_search, p3_recall, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p6_recall, p7_found, p7_mix, p7_copies, p7_shares, p8_found, p8_unified)}
+def p8_looks(spark: SparkSession, d: str) -> DataFrame:
+    """The form in which all texts are compared."""
+    return lookalikes.looks(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "look")
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Membership: the class of every document whose look another text shares, named by its smallest id."""
+    return lookalikes.classes(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_assigned, p1_fill, p1_requests, p2_found, p2_stretches, p2_documents, p3_found, p3_neighbours, p3_search, p3_recall, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_leaks, p6_recall, p7_found, p7_mix, p7_copies, p7_shares, p8_found, p8_classes, p8_looks, p8_unified)}
 
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -191,11 +215,14 @@ _P3 = """SELECT '{t}' AS item_table, a.id AS id_a, b.id AS id_b FROM v{t} a JOIN
 _P3_V = "v{t} AS (SELECT {id} AS id, {v}::DOUBLE[] AS v FROM {t} WHERE {v} IS NOT NULL AND list_inner_product({v}::DOUBLE[], {v}::DOUBLE[]) > 0)"
 
 
-def _looks_sql() -> str:
+def _looks_sql(accents: bool = False) -> str:
     source, target = lookalikes._pairs()
+    more = lookalikes.ACCENTED if accents else {}
+    one = {c: t for c, t in more.items() if len(t) == 1}
+    source, target = source + "".join(one), target + "".join(one.values())
     out = f"translate(nfc_normalize(text), '{source + lookalikes.INVISIBLE}', '{target.replace(chr(39), chr(39) * 2)}')"
-    for ligature, letters in lookalikes.LIGATURES.items():
-        out = f"replace({out}, '{ligature}', '{letters}')"
+    for mark, letters in (lookalikes.LIGATURES | {c: t for c, t in more.items() if len(t) > 1}).items():
+        out = f"replace({out}, '{mark}', '{letters}')"
     return f"nfc_normalize({out})"
 
 
@@ -203,6 +230,8 @@ _BETTER = " + ".join(f"CAST(a.v{i} IS NOT NULL AND (b.v{i} IS NULL OR a.v{i} > b
 
 ORACLE = {
     "p1_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) // 4 > 1024",
+    "p1_assigned": "WITH c AS (SELECT id, greatest(length(content) // 4, 1) AS n FROM chunks WHERE content IS NOT NULL) SELECT id AS chunk_id, (n + 1023) // 1024 AS pieces, n AS tokens, true AS fits FROM c",
+    "p1_fill": "SELECT sum(greatest(length(content) // 4, 1))::BIGINT AS tokens, CAST(ceil(sum(greatest(length(content) // 4, 1)) / 1024) AS BIGINT) AS least_requests, true AS within_5_percent FROM chunks WHERE content IS NOT NULL",
     "p3_found": "WITH " + _P3_V.format(t="chunks", id="id", v="embedding") + ", " + _P3_V.format(t="documents", id="doc_id", v="summary_embedding") + " " + _P3.format(t="chunks") + " UNION ALL " + _P3.format(t="documents"),
     "p4_found": f"""WITH s AS (SELECT request_id, chunk_id, arm, max(CASE WHEN better = 'low' THEN -raw_score ELSE raw_score END) AS v FROM search_scores JOIN score_arms USING (arm) GROUP BY 1, 2, 3),
   w AS (SELECT request_id, chunk_id, max(v) FILTER (arm = 'age') AS v0, max(v) FILTER (arm = 'keyword') AS v1, max(v) FILTER (arm = 'title') AS v2, max(v) FILTER (arm = 'vector') AS v3 FROM s GROUP BY 1, 2)
@@ -216,4 +245,7 @@ ORACLE = {
     "p7_shares": "SELECT lower(trim(source)) AS source, true AS not_above, true AS not_below, true AS exact_copies, true AS within_cap FROM mix_targets",
     "p8_found": f"""WITH t AS (SELECT doc_id, text, {_looks_sql()} AS look FROM documents WHERE regexp_replace(text, '{_WHITE}+', '', 'g') <> '')
   SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p8_looks": f"SELECT doc_id, CASE WHEN trim(text) = '' THEN text ELSE {_looks_sql(accents=True)} END AS look FROM documents",
+    "p8_classes": f"""WITH t AS (SELECT doc_id, text, {_looks_sql()} AS look FROM documents WHERE regexp_replace(text, '{_WHITE}+', '', 'g') <> ''),
+  c AS (SELECT look, min(doc_id) AS class_id FROM t GROUP BY look HAVING count(DISTINCT text) > 1) SELECT doc_id, class_id FROM t JOIN c ON t.look = c.look""",
 }

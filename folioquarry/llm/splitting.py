@@ -6,7 +6,9 @@ cutting everywhere leaves no segment over the limit.  Over the boundaries of
 that and the coarser grades a dynamic programme chooses the cuts: a cut costs
 by its grade, a piece by the square of its distance from the even size.  Every
 piece but the first begins with an overlap taken from the end of the piece
-before, starting at a word, and counts it within the limit.
+before, starting at a word, and counts it within the limit.  A segment that
+fits the limit but leaves no room for an overlap may be cut at finer grades too,
+so no piece goes without.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE
+
 GRADES = ("paragraph", "line", "sentence", "word")
 _PATTERNS = (
     re.compile(r"\f|\r?\n(?:[ \t]*\r?\n)+"),
@@ -27,47 +31,69 @@ _PATTERNS = (
     re.compile(r"(?<=[.!?])\s+"),
     re.compile(r"\s+"),
 )
+_SPACES = np.array([ord(c) for c in WHITE], np.uint32)
 COST = {"paragraph": 0.0, "line": 0.05, "sentence": 0.1, "word": 0.4, "none": 1.0}
 
 
-def _longest(text: str, cuts: list[int]) -> int:
-    edges = [0, *cuts, len(text)]
-    return max(len(text[a:b].strip()) for a, b in zip(edges, edges[1:]))
+def visible(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every position 0..n the first visible character at or after it, and the end of the last one before it."""
+    seen = ~np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _SPACES)
+    n = len(seen)
+    at = np.arange(n)
+    first = np.append(np.minimum.accumulate(np.where(seen, at, n)[::-1])[::-1], n)
+    last = np.append(0, np.maximum.accumulate(np.where(seen, at + 1, 0)))
+    return first, last
+
+
+def _wide(cost: dict[int, float], room: int, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Segments between the cuts whose visible part is longer than ``room``."""
+    edges = np.array(sorted({0, *cost, len(first) - 1}))
+    size = last[edges[1:]] - first[edges[:-1]]
+    return [(int(edges[i]), int(edges[i + 1])) for i in np.nonzero(size > room)[0]]
 
 
-def boundaries(text: str, limit: int) -> tuple[str, list[int], list[float]]:
-    """The coarsest sufficient grade, the cut positions up to that grade in order, and each one's cost.
+def boundaries(text: str, limit: int, room: int | None = None) -> tuple[str, list[int], list[float]]:
+    """The coarsest grade that is enough for ``limit``, the cut positions in order, and each one's cost.
 
-    A cut stands at the end of its white space.  ``none``: even single words are
-    too long; then cuts inside words are added every ``limit``/4 characters.
+    A cut stands before the first visible character after its white space.  All
+    cuts up to that grade are offered, and finer ones inside segments longer
+    than ``room``.  Where even single words are too long (grade ``none`` if they
+    exceed the limit) cuts inside words stand every ``limit``/4 characters.
     """
+    first, last = visible(text)
+    room = limit if room is None else room
     cost: dict[int, float] = {}
+    found = "none"
     for grade, pattern in zip(GRADES, _PATTERNS):
-        for m in pattern.finditer(text):
-            cost.setdefault(m.end(), COST[grade])
-        at = sorted(x for x in cost if 0 < x < len(text))
-        if _longest(text, at) <= limit:
-            return grade, at, [cost[x] for x in at]
-    edges = [0, *at, len(text)]
-    for a, b in zip(edges, edges[1:]):
-        if b - a > limit // 4:
-            for x in range(a + limit // 4, b, limit // 4):
-                cost.setdefault(x, COST["none"])
-    at = sorted(x for x in cost if 0 < x < len(text))
-    return "none", at, [cost[x] for x in at]
+        spans = [(0, len(text))] if found == "none" else _wide(cost, room, first, last)
+        for a, b in spans:
+            for m in pattern.finditer(text, a, b):
+                x = int(first[m.end()])
+                if 0 < x < len(text) and a < x < b:
+                    cost.setdefault(x, COST[grade])
+        if found == "none" and not _wide(cost, limit, first, last):
+            found = grade
+    for a, b in _wide(cost, room, first, last):
+        for x in range(a + limit // 4, b, limit // 4):
+            cost.setdefault(x, COST["none"])
+    at = sorted(cost)
+    return found, at, [cost[x] for x in at]
 
 
 def choose_cuts(text: str, at: list[int], cost: list[float], limit: int, overlap: int) -> list[int]:
-    """Cuts of least total cost so that every piece, with its overlap, keeps the limit (outer white space not counted)."""
+    """Cuts of least total cost so that every piece, with its overlap, keeps the limit (outer white space not counted).
+
+    ``at`` must leave no segment above ``limit`` - ``overlap`` - 1.
+    """
+    first, last = visible(text)
     pos = np.array([0, *at, len(text)])
     # a piece reaches from its first to its last visible character
-    begins = np.array([p + len(text[p : p + 4 * limit]) - len(text[p : p + 4 * limit].lstrip()) for p in pos])
-    ends = np.array([max(0, p - 4 * limit) + len(text[max(0, p - 4 * limit) : p].rstrip()) for p in pos])
+    begins, ends = first[pos], last[pos]
     pay = np.array([0.0, *cost, 0.0])
     n = len(pos)
     room = limit - overlap - 1  # the overlap and one separating blank
-    parts = max(1, -(-len(text.strip()) // room))
-    even = len(text) / parts
+    length = max(1, int(last[-1] - first[0]))
+    even = length / max(1, -(-length // room))
     best = np.full(n, np.inf)
     back = np.zeros(n, np.int64)
     best[0] = 0.0
@@ -77,12 +103,8 @@ def choose_cuts(text: str, at: list[int], cost: list[float], limit: int, overlap
             lo += 1
         size = ends[j] - begins[lo:j]
         allowed = np.where(np.arange(lo, j) == 0, limit, room)
-        total = best[lo:j] + pay[j] + ((size - even) / even) ** 2 + 0.02
-        total = np.where(size <= allowed, total, np.inf)
+        total = np.where(size <= allowed, best[lo:j] + pay[j] + ((size - even) / even) ** 2 + 0.02, np.inf)
         k = int(np.argmin(total))
-        if not np.isfinite(total[k]):  # a single segment between room and limit: it stands alone, with a shorter overlap
-            k = j - 1 - lo
-            total = best[lo:j] + pay[j] + 4.0
         best[j], back[j] = total[k], lo + k
     cuts, j = [], n - 1
     while j:
@@ -107,7 +129,7 @@ def _overlap_start(text: str, begin: int, cut: int, room: int, overlap: int) ->
 
 def split_text(text: str, page_start: int | None, page_end: int | None, limit: int = 2400, overlap: int = 240, chars_per_token: int = 4) -> tuple[str, list[tuple]]:
     """``(grade, [(begin, body_begin, end, content, page_start, page_end, token_count)])`` of one text above the limit."""
-    grade, at, cost = boundaries(text, limit)
+    grade, at, cost = boundaries(text, limit, limit - overlap - 1)
     cuts = choose_cuts(text, at, cost, limit, overlap)
     feeds = [m.start() for m in re.finditer("\f", text)]
     edges = [0, *cuts, len(text)]

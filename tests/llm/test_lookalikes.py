@@ -56,3 +56,41 @@ def test_every_uncomposed_character_is_seen(spark):
     odd = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFC", c) != c]
     got = lookalikes.unify(frame(spark, ["x" + c for c in odd])).collect()
     assert len(got) == len(odd) and all(unicodedata.is_normalized("NFC", r["text"]) for r in got)
+
+
+def test_words_keep_their_script(spark):
+    texts = {
+        "Москва и рост оса": "Москва и рост оса", "знак «Насос» 7": "знак «Насос» 7", "Всё ещё": "Всё ещё", "λόγος ὁ αὐτός": "λόγος ὁ αὐτός",
+        "Mосква": "Москва", "Мах 300X": "Max 300X", "рumр on": "pump on", "Τhe νalve": "The valve", "а b с": "a b c", "Соре": "Cope",
+        "IT-отдел": "IT-отдел", "pу́мпа": "ру́мпа", unicodedata.normalize("NFD", "päivä ёлка"): "päivä ёлка", "Ս Տ": "U S", "Հայաստան": "Հայաստան", "": "", None: None,
+    }
+    got = {r["id"]: r["text"] for r in lookalikes.unify(frame(spark, list(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_one_form_is_stable(spark):
+    once = [lookalikes.settled(t) for t in ("Мах и Mосква", "λόγος vο", "рumр ёлка", "oса оса, сок")]
+    assert [lookalikes.settled(t) for t in once] == once
+
+
+def test_texts_in_other_scripts_do_not_share_a_key(spark):
+    texts = ["제주도의 한라산", "서울의 북한산", "Москва", "Казань", "東京", "大阪", "ábc", "ábd"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.select(lookalikes.coarse_key(F.col("t"))).distinct().count() == len(texts)
+
+
+def test_copies_and_a_third_of_the_rows_in_one_class(spark):
+    texts = ["Max pump"] * 40 + ["Мax pump"] * 3 + ["other %d" % i for i in range(80)]
+    df = frame(spark, texts)
+    got = {(r[0], r[1]) for r in lookalikes.look_alike_pairs(df).collect()}
+    assert got == {(a, b) for a in range(40) for b in range(40, 43)}
+    c = lookalikes.classes(df).collect()
+    assert {r["id"] for r in c} == set(range(43)) and {r["class_id"] for r in c} == {0}
+    out = lookalikes.unify(df).collect()
+    assert len(out) == len(texts) and {r["text"] for r in out if r["id"] < 43} == {"Max pump"}
+
+
+def test_repeated_rows_are_kept(spark):
+    df = frame(spark, ["Max pump", "Мax pump"]).unionByName(frame(spark, ["Max pump", "else", None]))
+    out = sorted((r["id"], r["text"]) for r in lookalikes.unify(df).where("text IS NOT NULL").collect())
+    assert out == [(0, "Max pump"), (0, "Max pump"), (1, "Max pump"), (1, "else")]

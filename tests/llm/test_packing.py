@@ -52,3 +52,13 @@ def test_rounds_merge_what_partitions_leave(spark):
 def test_nothing_merges(spark):
     df = frame(spark, [(i, "x" * 2400) for i in range(200)]).repartition(8)
     assert packing.pack_requests(df, "id", "content", open_per_task=10).count() == 200
+
+
+def test_the_tree_has_one_root(spark):
+    """Halves and thirds that lie in different partitions meet in the end, whatever the fan-in."""
+    texts = [(i, "x" * (4 * (340 if i % 3 else 684))) for i in range(120)]
+    df = frame(spark, texts).repartition(40, "id")
+    for fan_in in (2, 5, 64):
+        req = packing.pack_requests(df, "id", "content", fan_in=fan_in)
+        assert sorted(r["chunk_id"] for r in packing.assignments(req).collect()) == list(range(120))
+        assert req.count() <= 68  # 40 large ones with a small one each, the other 40 small ones by three

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 from hypothesis import given, settings
@@ -36,6 +37,50 @@ def test_pieces(text):
         assert b[0] >= a[0] and b[2] >= a[2] and a[2] - b[0] <= overlap + 1 or b[0] >= a[1]
 
 
+def reference_cost(text, cuts, limit, overlap):
+    """Cost of a way to cut, None where a piece is too long."""
+    g, at, cost = splitting.boundaries(text, limit, limit - overlap - 1)
+    pay = dict(zip(at, cost))
+    length = max(1, len(text.strip()))
+    room = limit - overlap - 1
+    even = length / max(1, -(-length // room))
+    total = 0.0
+    for a, b in zip([0, *cuts], [*cuts, len(text)]):
+        size = len(text[a:b].strip())
+        if size > (limit if a == 0 else room):
+            return None
+        total += pay.get(b, 0.0) + ((size - even) / even) ** 2 + 0.02
+    return total
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["word", "long word ", ". ", "\n", "\n\n", " ", "x" * 12]), min_size=8, max_size=22).map("".join))
+def test_cuts_are_the_cheapest(text):
+    limit, overlap = 30, 6
+    _, at, cost = splitting.boundaries(text, limit, limit - overlap - 1)
+    if len(text) <= limit or len(at) > 11 or not text.strip():
+        return
+    mine = reference_cost(text, splitting.choose_cuts(text, at, cost, limit, overlap), limit, overlap)
+    costs = [reference_cost(text, cuts, limit, overlap) for n in range(len(at) + 1) for cuts in itertools.combinations(at, n)]
+    assert mine is not None and abs(mine - min(c for c in costs if c is not None)) < 1e-9
+
+
+def test_every_piece_has_its_overlap():
+    # paragraphs that fit the limit but leave no room for an overlap
+    text = "\n\n".join(" ".join(f"w{p}x{i:03d}" for i in range(330)) for p in range(6))
+    assert all(2160 < len(p) <= 2400 for p in text.split("\n\n"))
+    g, pieces = splitting.split_text(text, 1, 1)
+    assert g == "paragraph" and all(len(p[3]) <= 2400 for p in pieces)
+    assert all(180 <= a[2] - b[0] <= 242 for a, b in zip(pieces, pieces[1:]))
+
+
+def test_long_white_space():
+    text = "ab cd. " * 400 + " " * 30_000 + "ef gh. " * 400 + "\f" + "\t" * 9_000 + "end"
+    g, pieces = splitting.split_text(text, 1, 2)
+    assert all(0 < len(p[3]) <= 2400 and p[3] == p[3].strip() for p in pieces)
+    assert {w for p in pieces for w in p[3].split()} == {"ab", "cd.", "ef", "gh.", "end"} and pieces[-1][3].endswith("end") and pieces[-1][5] == 2
+
+
 def test_overlap_is_about_as_asked():
     text = " ".join(f"word{i}" for i in range(2000))
     _, pieces = splitting.split_text(text, None, None)
