@@ -60,12 +60,27 @@ def _has(tokens: Column, words: tuple[str, ...]) -> Column:
 
 
 def match(query: Query, tokens: Column) -> Column:
+    return _alternatives(query, lambda words: _has(tokens, words))
+
+
+def _alternatives(query: Query, has) -> Column:
     if not query.groups:
         return F.lit(False)
-    ands = [reduce(lambda a, b: a & b, [_has(tokens, t.words) if t.wanted else ~_has(tokens, t.words) for t in g]) for g in query.groups]
+    ands = [reduce(lambda a, b: a & b, [has(t.words) if t.wanted else ~has(t.words) for t in g]) for g in query.groups]
     return F.coalesce(reduce(lambda a, b: a | b, ands), F.lit(False))
 
 
+def match_places(query: Query, places: dict[str, Column]) -> Column:
+    """``match`` on the places of each word of the query, ascending arrays that are empty where a word is absent."""
+    def has(words: tuple[str, ...]) -> Column:
+        first = places[words[0]]
+        if len(words) == 1:
+            return F.size(first) > 0
+        return F.exists(first, lambda p: reduce(lambda a, b: a & b, [F.array_contains(places[w], p + k) for k, w in enumerate(words) if k]))
+
+    return _alternatives(query, has)
+
+
 def rank(query: Query, tokens: Column) -> Column:
     """Cover density: each minimal stretch that satisfies the query adds 0.1 / (1 + words in it that the query has not).
 
@@ -79,7 +94,25 @@ def rank(query: Query, tokens: Column) -> Column:
     if len(words) == 1:
         return F.size(F.filter(tokens, lambda t: t == words[0])) * F.lit(WEIGHT)
     wanted = F.array(*map(F.lit, words))
-    hits = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), F.array_position(wanted, t).cast("int").alias("word"))), lambda h: h["word"] > 0)
+    return _density(query, F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), F.array_position(wanted, t).cast("int").alias("word"))), lambda h: h["word"] > 0))
+
+
+def rank_places(query: Query, places: dict[str, Column]) -> Column:
+    """``rank`` on the places of each word of the query."""
+    words = query.words
+    if not words:
+        return F.lit(0.0)
+    if len(words) == 1:
+        return F.size(places[words[0]]) * F.lit(WEIGHT)
+
+    def marked(word: str, number: int) -> Column:
+        return F.transform(places[word], lambda p: F.struct(p.cast("int").alias("pos"), F.lit(number).alias("word")))
+
+    return _density(query, F.array_sort(F.concat(*[marked(w, k + 1) for k, w in enumerate(words)])))
+
+
+def _density(query: Query, hits: Column) -> Column:
+    words = query.words
     hits = F.transform(hits, lambda h, k: F.struct(h["pos"].alias("pos"), h["word"].alias("word"), k.alias("nth")))
     sets = [[words.index(w) for t in g if t.wanted for w in t.words] for g in query.groups]
     sets = [s for s in sets if s]

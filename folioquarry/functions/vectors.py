@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_to(a: Column, query: list[float]) -> Column:
-    """Similarity to a fixed vector, whose length is computed once on the driver."""
+    """Similarity to a fixed vector, whose length is computed once on the driver.
+
+    Up to 256 dimensions the sums are written out term by term, which compiles
+    into the scan; longer ones would not fit a compiled method.
+    """
     length = sum(x * x for x in query) ** 0.5
+    if len(query) <= 256:
+        at = [F.get(a, F.lit(i)).cast("double") for i in range(len(query))]
+        add = lambda terms: reduce(lambda s, t: s + t, terms, F.lit(0.0))
+        both, own = add([x * F.lit(float(y)) for x, y in zip(at, query)]), add([x * x for x in at])
+        return F.when(F.size(a) == len(query), F.try_divide(both, F.sqrt(own) * F.lit(length)))
     q = F.array(*[F.lit(float(x)) for x in query])
     return F.try_divide(dot(a, q), norm(a) * F.lit(length))
 

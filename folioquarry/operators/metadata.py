@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+import urllib.parse
+import urllib.request
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +20,12 @@ DOI = r"(10\.\d{4,9}[/_.][^\s]+)"
 ABSTRACT = r"(?is)\bAbstract\b[:.\s]*(.{100,2500}?)(?:\n\s*\n|\bIntroduction\b|\b1\.?\s+Introduction\b)"
 
 
+# The public look-up services.
+CROSSREF_URL = "https://api.crossref.org/works/{}"
+ARXIV_URL = "https://export.arxiv.org/api/query?id_list={}&max_results=1"
+log = logging.getLogger(__name__)
+
+
 def _found(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
@@ -71,7 +83,7 @@ def paper(df: DataFrame, crossref: DataFrame | None = None, arxiv: DataFrame | N
     empty = df.sparkSession.createDataFrame([], "key string, title string, authors array<string>, doc_date date, summary string")
     stem = tx.stem_of(F.col("rel_path"))
     df = df.withColumns({"doi_key": doi(stem), "arxiv_key": arxiv_id(stem)})
-    for table, tag in ((crossref or empty, "c"), (arxiv or empty, "a")):
+    for table, tag in ((empty if crossref is None else crossref, "c"), (empty if arxiv is None else arxiv, "a")):
         one = table.groupBy("key").agg(*[F.min(c).alias(f"{tag}_{c}") for c in ("title", "authors", "doc_date", "summary")], F.lit(True).alias(f"{tag}_hit"))
         key = "doi_key" if tag == "c" else "arxiv_key"
         df = df.join(one.withColumnRenamed("key", key), key, "left")
@@ -109,3 +121,29 @@ def arxiv_record(reply: Column) -> Column:
         F.xpath(reply, F.lit(f"{entry}/*[local-name()='author']/*[local-name()='name']/text()")).alias("authors"),
         F.try_to_date(F.left(at(f"{entry}/*[local-name()='published']"), F.lit(10)), "yyyy-MM-dd").alias("doc_date"),
         at(f"{entry}/*[local-name()='summary']").alias("summary"))
+
+
+def fetched(keys: DataFrame, url: str, timeout: float = 20.0) -> DataFrame:
+    """``(key, reply)`` of the distinct ``key``s of a table, asked on the executors; a failed request has no row and stops nothing."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key in pdf["key"]:
+                try:
+                    with urllib.request.urlopen(url.format(urllib.parse.quote(key, safe="/")), timeout=timeout) as r:
+                        rows.append((key, r.read().decode("utf-8", "replace")))
+                except (OSError, ValueError) as e:
+                    log.warning("look-up of %s failed: %s", key, e)
+            yield pd.DataFrame(rows, columns=["key", "reply"])
+
+    return keys.where("key IS NOT NULL").select("key").distinct().mapInPandas(run, "key string, reply string")
+
+
+def lookups(files: DataFrame, crossref_url: str = CROSSREF_URL, arxiv_url: str = ARXIV_URL) -> dict[str, DataFrame]:
+    """The tables ``paper`` joins, fetched for the file names in ``rel_path``; arXiv is asked only where Crossref has no answer."""
+    stem = tx.stem_of(F.col("rel_path"))
+    names = files.select(doi(stem).alias("doi"), arxiv_id(stem).alias("arxiv"))
+    record = lambda df, make: df.select("key", make(F.col("reply")).alias("r")).select("key", "r.*").where("title IS NOT NULL")
+    cross = record(fetched(names.select(F.col("doi").alias("key")), crossref_url), crossref_record)
+    rest = names.join(cross.select(F.col("key").alias("doi")), "doi", "left_anti")
+    return {"crossref": cross, "arxiv": record(fetched(rest.select(F.col("arxiv").alias("key")), arxiv_url), arxiv_record).where("title <> ''")}

@@ -115,8 +115,9 @@ def fuse_union(vec: DataFrame, kw: DataFrame) -> DataFrame:
 
 
 def chunk_citations(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """The citation view: a chunk with what names its place."""
-    c = chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "page_start", "page_end", "section", "content", "token_count")
+    """The citation view: a chunk with what names its place; ranks and scores a chunk has got are kept."""
+    extra = [c for c in ("vector_rank", "keyword_rank", "score") if c in chunks.columns]
+    c = chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "page_start", "page_end", "section", "content", "token_count", *extra)
     d = docs.select(F.col("doc_id").alias("document_id"), "shelf", "rel_path", "filename", "source_dir", "title", "authors", "doc_date", "year")
     return c.join(d, "document_id")
 
@@ -128,9 +129,9 @@ def page_label(start: Column, end: Column) -> Column:
 
 
 def citation(df: DataFrame) -> DataFrame:
-    """Adds ``citation``: pages, section, date and up to five authors where present."""
+    """Adds ``citation``: the document, and pages, section, date and up to five authors where present."""
     return df.withColumn("citation", F.struct(
-        "shelf", "title", F.col("filename").alias("file"), page_label(F.col("page_start"), F.col("page_end")).alias("pages"),
+        "document_id", "shelf", "title", "filename", page_label(F.col("page_start"), F.col("page_end")).alias("pages"),
         F.when(F.col("section") != "", F.col("section")).alias("section"), F.date_format("doc_date", "yyyy-MM-dd").alias("date"),
         F.when(F.size("authors") > 0, F.slice("authors", 1, 5)).alias("authors")))
 
@@ -139,9 +140,10 @@ def hybrid(chunks: DataFrame, docs: DataFrame, text: str, query: list[float], fi
     """The ``limit`` best chunks of both arms, with their citation columns."""
     fused = fuse(vector_arm(chunks, docs, query, filters, arm_limit), keyword_arm(chunks, docs, text, filters, arm_limit))
     top = fused.orderBy(F.col("score").desc(), "chunk_id").limit(limit)
-    # at most ``limit`` rows by construction
-    hits = chunk_citations(chunks.join(F.broadcast(top.select(F.col("chunk_id").alias("id"))), "id", "left_semi"), docs)
-    return hits.join(F.broadcast(top), "chunk_id").orderBy(F.col("score").desc(), "chunk_id")
+    # at most ``limit`` rows by construction: read once, broadcast to the chunks and then, with their text, to the documents
+    found = chunks.join(F.broadcast(top.withColumnRenamed("chunk_id", "id")), "id")
+    hits = chunk_citations(F.broadcast(found), docs)
+    return hits.orderBy(F.col("score").desc(), "chunk_id")
 
 
 def find_documents(docs: DataFrame, query: list[float], filters: SearchFilters | None = None, limit: int = 10) -> DataFrame:

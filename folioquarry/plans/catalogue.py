@@ -16,9 +16,9 @@ from ..config import ChunkingConfig, EmbeddingConfig
 from ..embed import embed_column
 from ..functions import dates, fulltext, vectors
 from ..functions import text as tx
-from ..operators import chunking, merge, metadata, search
+from ..operators import chunking, index, merge, metadata, search
 from ..operators.search import SearchFilters
-from ..runtime import table
+from ..runtime import Scratch, table
 from ..schema import violations
 
 QUERIES: dict = {}
@@ -172,9 +172,12 @@ def keyword_phrase(spark: SparkSession, d: str) -> DataFrame:
     return _matching(spark, d, '"annual meeting" minutes')
 
 
-@query()
+@query("""WITH w AS (SELECT id, unnest(tsv) AS t, generate_subscripts(tsv, 1) AS p FROM chunks), h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS nth FROM w WHERE t IN ('board', 'decided', 'euros')),
+  l AS (SELECT *, max(p) FILTER (t = 'board') OVER o AS a, max(p) FILTER (t = 'decided') OVER o AS b, max(p) FILTER (t = 'euros') OVER o AS c FROM h WINDOW o AS (PARTITION BY id ORDER BY p ROWS UNBOUNDED PRECEDING)),
+  s AS (SELECT *, least(a, b, c) AS s FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL), f AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY p) AS before FROM s)
+  SELECT f.id AS chunk_id, round(sum(0.1::DOUBLE / (1 + (f.p - f.s) - (f.nth - h.nth))), 6) AS score FROM f JOIN h ON h.id = f.id AND h.p = f.s WHERE before IS NULL OR f.s > before GROUP BY 1""")
 def keyword_rank_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Cover density of three terms over all chunks that hold them; held against brute force in the tests."""
+    """Cover density of three terms over all chunks that hold them."""
     q = fulltext.parse("board decided euros")
     c = table(spark, d, "chunks").where(fulltext.match(q, F.col("tsv")))
     return c.select(F.col("id").alias("chunk_id"), F.round(fulltext.rank(q, F.col("tsv")), 6).alias("score"))
@@ -208,11 +211,11 @@ def rrf_full_join(spark: SparkSession, d: str) -> DataFrame:
     return search.fuse(search.vector_arm(c, docs, _vec(spark, d)), search.keyword_arm(c, docs, WORD))
 
 
-@query("""SELECT c.id AS chunk_id, CASE WHEN page_start <> 0 AND page_end <> 0 AND page_start <> page_end THEN page_start || '-' || page_end WHEN page_start <> 0 THEN page_start::VARCHAR END AS pages,
+@query("""SELECT c.id AS chunk_id, c.document_id, d.filename, CASE WHEN page_start <> 0 AND page_end <> 0 AND page_start <> page_end THEN page_start || '-' || page_end WHEN page_start <> 0 THEN page_start::VARCHAR END AS pages,
   nullif(section, '') AS section, strftime(d.doc_date, '%Y-%m-%d') AS date, array_to_string(authors[1:5], '; ') AS authors FROM chunks c JOIN documents d ON d.doc_id = c.document_id""")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     out = search.citation(search.chunk_citations(table(spark, d, "chunks"), table(spark, d, "documents")))
-    return out.select("chunk_id", "citation.pages", "citation.section", "citation.date", F.array_join("citation.authors", "; ").alias("authors"))
+    return out.select("chunk_id", "citation.document_id", "citation.filename", "citation.pages", "citation.section", "citation.date", F.array_join("citation.authors", "; ").alias("authors"))
 
 
 @query("SELECT c.id AS chunk_id, c.document_id, c.chunk_index, c.page_start, c.page_end, c.section, c.content, c.token_count, d.shelf, d.rel_path, d.filename, d.source_dir, d.title, array_to_string(d.authors, '; ') AS authors, CAST(d.doc_date AS VARCHAR) AS doc_date, d.year FROM chunks c JOIN documents d ON d.doc_id = c.document_id")
@@ -234,9 +237,15 @@ def read_document_budget(spark: SparkSession, d: str) -> DataFrame:
     return search.read_documents(table(spark, d, "chunks"))
 
 
-@query()
+@query(f"""WITH {_VEC.format(where='')}, {_KW.format(word=WORD, where='')}, {_FUSED} SELECT f.chunk_id, c.content AS text, round(f.score, 5) AS score, d.doc_id AS document_id, d.shelf, d.title, d.filename,
+  CASE WHEN page_start <> 0 AND page_end <> 0 AND page_start <> page_end THEN page_start || '-' || page_end WHEN page_start <> 0 THEN page_start::VARCHAR END AS pages, nullif(c.section, '') AS section, strftime(d.doc_date, '%Y-%m-%d') AS date
+  FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 8) f JOIN chunks c ON c.id = f.chunk_id JOIN documents d ON d.doc_id = c.document_id""")
 def hit_json(spark: SparkSession, d: str) -> DataFrame:
-    return search.hit_json(search.hybrid(table(spark, d, "chunks"), table(spark, d, "documents"), WORD, _vec(spark, d)))
+    """The hits as JSON, read back field by field."""
+    hits = search.hit_json(search.hybrid(table(spark, d, "chunks"), table(spark, d, "documents"), WORD, _vec(spark, d)))
+    at = lambda *path: F.get_json_object("hit", "$." + ".".join(path)).alias(path[-1])
+    cited = [at("citation", c) for c in ("shelf", "title", "filename", "pages", "section", "date")]
+    return hits.select(at("chunk_id").cast("long").alias("chunk_id"), at("text"), at("score").cast("double").alias("score"), at("citation", "document_id").cast("long").alias("document_id"), *cited)
 
 
 @query("SELECT label, i AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS value FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2)")
@@ -245,6 +254,79 @@ def mean_vector(spark: SparkSession, d: str) -> DataFrame:
     return m.select("label", F.posexplode("mean").alias("p", "v")).select("label", (F.col("p") + 1).cast("bigint").alias("pos"), F.round("v", 6).alias("value"))
 
 
+# The same retrieval over indexes, built once per session and data directory
+
+_BUILT: dict[tuple[str, str], tuple] = {}
+DIM = 64
+
+
+def _indexes(spark: SparkSession, d: str) -> tuple[index.VectorCells, index.Postings]:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        at, chunks = Scratch(spark, "index").root, table(spark, d, "chunks")
+        _BUILT[key] = index.VectorCells.build(chunks, at, DIM), index.Postings.build(chunks, at)
+    return _BUILT[key]
+
+
+@query(ORACLE["vector_arm"])
+def vector_cells_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell probed: the exact arm."""
+    return _indexes(spark, d)[0].arm(table(spark, d, "documents"), _vec(spark, d), probes=None)
+
+
+@query()
+def vector_cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the ten nearest of all queries by the part of the cells that is probed."""
+    cells, _ = _indexes(spark, d)
+    asked = table(spark, d, "queries").select("query_id", F.col("query_vector").alias("vector"))
+    return index.recall(cells, index.batch_arm(table(spark, d, "chunks"), asked, DIM), asked, DIM)
+
+
+@query("""SELECT query_id, chunk_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM (
+  SELECT q.query_id, c.id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.query_vector::DOUBLE[]), 6) AS similarity FROM queries q, chunks c
+  WHERE c.embedding IS NOT NULL AND list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]) > 0)) WHERE rank <= 10""")
+def vector_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest chunks of each of the 400 queries."""
+    asked = table(spark, d, "queries").select("query_id", F.col("query_vector").alias("vector"))
+    return index.batch_arm(table(spark, d, "chunks"), asked, DIM)
+
+
+@query(ORACLE["keyword_arm"])
+def keyword_postings(spark: SparkSession, d: str) -> DataFrame:
+    return _indexes(spark, d)[1].arm(table(spark, d, "documents"), WORD)
+
+
+def _posted(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return _indexes(spark, d)[1].matches(table(spark, d, "documents"), text).select("chunk_id")
+
+
+@query(ORACLE["keyword_not"])
+def keyword_postings_not(spark: SparkSession, d: str) -> DataFrame:
+    return _posted(spark, d, "water -board")
+
+
+@query(ORACLE["keyword_or"])
+def keyword_postings_or(spark: SparkSession, d: str) -> DataFrame:
+    return _indexes(spark, d)[1].matches(table(spark, d, "documents"), "boiler OR lamp")
+
+
+@query(ORACLE["keyword_phrase"])
+def keyword_postings_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return _posted(spark, d, '"annual meeting" minutes')
+
+
+@query("""WITH w AS (SELECT id, unnest(tsv) AS t, generate_subscripts(tsv, 1) - 1 AS p FROM chunks) SELECT t AS term, id AS chunk_id, array_to_string(list(p ORDER BY p), ' ') AS places FROM w GROUP BY 1, 2""")
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    at = _indexes(spark, d)[1]
+    return spark.read.schema(at.SCHEMA).parquet(f"{at.path}/postings").select("term", "chunk_id", F.array_join("places", " ").alias("places"))
+
+
+@query(ORACLE["hybrid_rrf"])
+def hybrid_indexed(spark: SparkSession, d: str) -> DataFrame:
+    cells, posted = _indexes(spark, d)
+    return _hits(index.hybrid(cells, posted, table(spark, d, "chunks"), table(spark, d, "documents"), WORD, _vec(spark, d), probes=None))
+
+
 # Change detection, upsert, constraints
 
 _SCANS = "latest AS (SELECT rel_path, arg_max({'h': content_hash, 'o': outcome}, (scanned_at, scan_id)) AS s FROM file_scans WHERE rel_path IS NOT NULL GROUP BY 1), seen AS (SELECT rel_path, s.h AS h FROM latest WHERE s.o <> 'deleted')"
@@ -278,14 +360,16 @@ def scans_by_folder(spark: SparkSession, d: str) -> DataFrame:
     return s.join(table(spark, d, "documents").select("rel_path", "source_dir"), "rel_path").groupBy("source_dir", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_SCANS}, incoming AS (SELECT rel_path, 1000000 + row_number() OVER (ORDER BY rel_path) AS doc_id, h AS content_hash FROM seen)
-  SELECT coalesce(d.doc_id, i.doc_id) AS doc_id, i.rel_path, i.content_hash FROM incoming i LEFT JOIN documents d ON d.rel_path = i.rel_path
+@query(f"""WITH {_SCANS}, incoming AS (SELECT rel_path, h AS content_hash FROM seen UNION ALL SELECT 'copy/' || rel_path, h FROM seen)
+  SELECT coalesce(d.doc_id, ('0x' || md5(i.rel_path)[1:15])::BIGINT) AS doc_id, i.rel_path, i.content_hash FROM incoming i LEFT JOIN documents d ON d.rel_path = i.rel_path
   UNION ALL SELECT doc_id, rel_path, content_hash FROM documents WHERE rel_path NOT IN (SELECT rel_path FROM incoming)""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The latest scans over the documents: known paths keep their id, new ones get one."""
+    """The latest scans, and as many new paths, over the documents: known paths keep their id, new ones get one made from the path."""
     old = table(spark, d, "documents").select("doc_id", "rel_path", "content_hash")
-    new = merge.latest_scans(table(spark, d, "file_scans")).where("outcome <> 'deleted'").select(F.xxhash64("rel_path").alias("doc_id"), "rel_path", "content_hash")
-    return merge.upsert(old, new, "rel_path", keep=("doc_id",))
+    seen = merge.latest_scans(table(spark, d, "file_scans")).where("outcome <> 'deleted'").select("rel_path", "content_hash")
+    new = seen.unionByName(seen.withColumn("rel_path", F.concat(F.lit("copy/"), "rel_path")))
+    ident = F.conv(F.left(F.md5("rel_path"), F.lit(15)), 16, 10).cast("bigint")
+    return merge.upsert(old, new.withColumn("doc_id", ident), "rel_path", keep=("doc_id",))
 
 
 _GONE = f"(WITH {_SCANS} SELECT d.doc_id FROM documents d WHERE d.rel_path NOT IN (SELECT rel_path FROM seen))"
@@ -404,21 +488,54 @@ def paragraphs_sections(spark: SparkSession, d: str) -> DataFrame:
     return chunking.paragraphs(pages).withColumnRenamed("id", "doc_id")
 
 
-def _with_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", chunking.text_pages(F.col("text")).alias("pages"))
-
-
-@query()
+_FOLD_SQL = f"""WITH RECURSIVE {_PAGES_SQL}, heads AS (SELECT *, {_strip_sql("string_split(t, chr(10))[1]")} AS l FROM pages),
+  own AS (SELECT doc_id, page, t, CASE WHEN length(l) < 90 AND regexp_matches(l, '{_HEADING_SQL}') THEN l END AS head FROM heads),
+  carried AS (SELECT doc_id, page, t, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM own),
+  cut AS (SELECT doc_id, page, section, unnest(string_split(t, chr(10) || chr(10))) AS x, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS para FROM carried),
+  paras AS (SELECT doc_id, page, section, text, row_number() OVER (PARTITION BY doc_id ORDER BY page, para) AS i FROM (SELECT *, {_strip_sql('x')} AS text FROM cut) WHERE text <> ''),
+  docs AS (SELECT doc_id, list(struct_pack(t := text, n := length(text), page := page, section := section) ORDER BY i) AS p FROM paras GROUP BY 1),
+  -- one step per paragraph: the buffer is first..i - 1 with size characters; what a step closes is from..till, or a long paragraph
+  fold AS (
+    SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS first, 0::BIGINT AS size, NULL::BIGINT AS a, NULL::BIGINT AS z, NULL::BIGINT AS long FROM docs
+    UNION ALL
+    SELECT doc_id, i, CASE WHEN big OR full_ AND carry >= 1600 THEN i + 1 WHEN full_ THEN back ELSE first END,
+      CASE WHEN big OR full_ AND carry >= 1600 THEN 0 WHEN full_ THEN carry ELSE grown END,
+      CASE WHEN big AND first < i OR full_ THEN first END, CASE WHEN big AND first < i THEN i - 1 WHEN full_ THEN i END, CASE WHEN big THEN i END
+    FROM (SELECT *, list_sum([q.n FOR q IN p[back : i]])::BIGINT AS carry FROM (
+      SELECT *, NOT big AND grown >= 1600 AS full_,
+        greatest(first, coalesce(list_max([k FOR k IN range(first, i + 1) IF list_sum([q.n FOR q IN p[k : i]]) >= 240]), first)) AS back
+      FROM (SELECT f.doc_id, f.i + 1 AS i, f.first, p, p[f.i + 1].n > 2400 AS big, f.size + p[f.i + 1].n AS grown FROM fold f JOIN docs d ON d.doc_id = f.doc_id WHERE f.i < len(p))))
+  ),
+  last_ AS (SELECT doc_id, max(i) AS i FROM fold GROUP BY 1),
+  closed AS (SELECT doc_id, i, 0 AS sub, a, z FROM fold WHERE a IS NOT NULL UNION ALL SELECT f.doc_id, f.i + 1, 0, f.first, f.i FROM fold f JOIN last_ l ON l.doc_id = f.doc_id AND l.i = f.i WHERE f.first <= f.i),
+  plain AS (SELECT c.doc_id, c.i, 0::BIGINT AS sub, {_clean_sql("array_to_string([q.t FOR q IN p[a : z]], chr(10) || chr(10))")} AS content, p[a].page AS page_start, p[z].page AS page_end, list_filter([q.section FOR q IN p[a : z]], lambda v: v IS NOT NULL)[1] AS section FROM closed c JOIN docs d ON d.doc_id = c.doc_id),
+  sent AS (SELECT f.doc_id, f.i, string_split(regexp_replace(p[f.long].t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s, p[f.long].page AS page, p[f.long].section AS section FROM fold f JOIN docs d ON d.doc_id = f.doc_id WHERE f.long IS NOT NULL),
+  pieces AS (
+    SELECT doc_id, i, 1::BIGINT AS k, s[1] AS cur, NULL::VARCHAR AS piece, s, page, section FROM sent
+    UNION ALL
+    SELECT doc_id, i, k + 1, CASE WHEN length(cur) + length(s[k + 1]) > 1600 THEN s[k + 1] ELSE cur || ' ' || s[k + 1] END, CASE WHEN length(cur) + length(s[k + 1]) > 1600 THEN cur END, s, page, section FROM pieces WHERE k < len(s)
+  ),
+  longs AS (SELECT doc_id, i, k AS sub, piece AS content, page, section FROM pieces WHERE piece IS NOT NULL UNION ALL SELECT doc_id, i, k + 1, cur, page, section FROM pieces WHERE k = len(s)),
+  every AS (SELECT * FROM plain WHERE length(content) >= 160 UNION ALL SELECT doc_id, i, sub, content, page, page, section FROM longs)
+  SELECT doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, sub > 0, sub) - 1 AS INTEGER) AS chunk_index, content, CAST(page_start AS INTEGER) AS page_start, CAST(page_end AS INTEGER) AS page_end, section, CAST(length(content) // 4 AS INTEGER) AS token_count
+  FROM every WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}]')"""
+
+
+@query(_FOLD_SQL)
 def chunk_fold(spark: SparkSession, d: str) -> DataFrame:
     c = ChunkingConfig()
-    return chunking.chunk_documents(_with_pages(spark, d), "doc_id", "pages", c.target_tokens, c.overlap_tokens, c.min_tokens)
+    return chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text", c.target_tokens, c.overlap_tokens, c.min_tokens)
 
 
-@query()
+@query(f"""WITH w AS (SELECT id, unnest(string_split(lower({_strip_sql(f"regexp_replace(content, '{_WS}+', ' ', 'g')")}), ' ')) AS w FROM chunks WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}]')),
+  h AS (SELECT id, ('0x' || md5(w)[1:12])::BIGINT % 16 AS i, CASE WHEN ('0x' || md5(w)[31:32])::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1 END AS x FROM w),
+  v AS (SELECT c.id, r.i, coalesce(sum(x), 0) AS x FROM chunks c CROSS JOIN range(16) r(i) LEFT JOIN h ON h.id = c.id AND h.i = r.i WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}]') GROUP BY 1, 2)
+  SELECT id AS chunk_id, CAST(i AS INTEGER) AS pos, CASE WHEN n = 0 THEN 0 ELSE round((x / sqrt(n))::FLOAT::DOUBLE, 5) END AS value FROM (SELECT *, sum(x * x) OVER (PARTITION BY id) AS n FROM v)""")
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk through the packing client with the offline backend."""
-    c = EmbeddingConfig(backend="hash", dimensions=16)
-    return embed_column(table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "content"), "content", "vector", c).select("chunk_id", F.size("vector").alias("dimensions"))
+    """Every chunk through the packing client with the offline backend, value by value."""
+    c = EmbeddingConfig(backend="hash", dimensions=16, max_tokens_per_request=10_000_000)
+    out = embed_column(table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "content"), "content", "vector", c)
+    return out.where("vector IS NOT NULL").select("chunk_id", F.posexplode("vector").alias("pos", "x")).select("chunk_id", "pos", F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 _PREFIXES = {"nomic-embed-text": "search_query: ", "multilingual-e5-large": "query: ", "LFM2-350M": "query: ", "qwen3-embedding": "Instruct: Given a search query, retrieve relevant passages\nQuery: ", "bge-m3": ""}
@@ -430,12 +547,13 @@ def query_prefixes(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), tx.model_prefix(F.col("query_text"), m, True).alias("text")) for m in _PREFIXES])).alias("s")).select("query_id", "s.model", "s.text")
 
 
-@query("""WITH x AS (SELECT doc_id, trim(source_dir) AS n FROM documents), p AS (SELECT doc_id, n,
-   CASE WHEN regexp_matches(n, '^\\d{4}-\\d{2}-\\d{2}') THEN n[1:10] WHEN regexp_matches(n, '^\\d{4}_\\d{2}_\\d{2}') THEN replace(n[1:10], '_', '-')
+_DIR_DATE = """CASE WHEN regexp_matches(n, '^\\d{4}-\\d{2}-\\d{2}') THEN n[1:10] WHEN regexp_matches(n, '^\\d{4}_\\d{2}_\\d{2}') THEN replace(n[1:10], '_', '-')
      WHEN regexp_matches(n, '^\\d{8}$') THEN n[1:4] || '-' || n[5:6] || '-' || n[7:8] WHEN regexp_matches(n, '^\\d{2}\\.\\d{2}\\.\\d{4}') THEN n[7:10] || '-' || n[4:5] || '-' || n[1:2]
      WHEN regexp_matches(n, '^\\d{4}[-_]\\d{2}$') THEN n[1:4] || '-' || n[6:7] || '-01'
-     WHEN regexp_matches(n, '^\\d{6}(\\D|$)') THEN CASE WHEN n[1:2] >= '70' THEN '19' ELSE '20' END || n[1:2] || '-' || n[3:4] || '-' || n[5:6] END AS t FROM x)
-  SELECT doc_id, n AS folder, CAST(TRY_CAST(t AS DATE) AS VARCHAR) AS date FROM p""")
+     WHEN regexp_matches(n, '^\\d{6}(\\D|$)') THEN CASE WHEN n[1:2] >= '70' THEN '19' ELSE '20' END || n[1:2] || '-' || n[3:4] || '-' || n[5:6] END"""
+
+
+@query(f"SELECT doc_id, n AS folder, CAST(TRY_CAST({_DIR_DATE} AS DATE) AS VARCHAR) AS date FROM (SELECT doc_id, trim(source_dir) AS n FROM documents)")
 def dir_date(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.trim("source_dir").alias("folder"), dates.dir_date(F.col("source_dir")).cast("string").alias("date"))
 
@@ -452,12 +570,26 @@ def strip_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.strip_tags(F.col("text")).alias("text"))
 
 
-@query()
+def _squeeze_sql(x: str) -> str:
+    return _strip_sql(f"regexp_replace({x}, '{_WS}+', ' ', 'g')")
+
+
+def _abstract_sql(x: str) -> str:
+    """The lazy end of the pattern is sought behind its least length, which the other engine's repeats can't express."""
+    tail = f"regexp_extract({x}, '(?is)\\bAbstract\\b[:.\\s]*(.*)', 1)"
+    end = r"'(?is)^(.*?)(?:\n\s*\n|\bIntroduction\b|\b1\.?\s+Introduction\b)'"
+    body = f"regexp_extract({tail}[101:], {end}, 1)"
+    return f"CASE WHEN length({tail}) >= 100 AND regexp_matches({tail}[101:], {end}) AND length({body}) <= 2400 THEN nullif({_squeeze_sql(f'{tail}[1:100] || {body}')}, '') END"
+
+
+@query(f"SELECT doc_id, {_abstract_sql('text')} AS abstract FROM documents")
 def abstracts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", metadata.abstract(F.col("text")).alias("abstract"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS x, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) AS i FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT *, regexp_matches(x, '^\s*(```|~~~)') AS fence FROM l), p AS (SELECT *, sum(fence::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 0 AS outside FROM f)
+  SELECT doc_id, coalesce(string_agg(regexp_replace(x, '^#{1,6}\s+(.*?)\s*#*\s*$', '\1'), chr(10) ORDER BY i) FILTER (outside AND NOT fence), '') AS text FROM p GROUP BY 1 UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def markdown_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.markdown_text(F.col("text")).alias("text"))
 
@@ -504,11 +636,21 @@ def _described(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return docs.select("doc_id", "rel_path", "source_dir", pages.alias("pages"), F.lit(None).cast("string").alias("prop_title"), F.lit(None).cast("date").alias("prop_created"), F.lit(None).cast("string").alias("font_title"))
 
 
-@query()
+_STEM_SQL = "regexp_replace(string_split(rel_path, '/')[-1], '(.)\\.[^.]*$', '\\1')"
+_CLEAN_STEM_SQL = _strip_sql("regexp_replace(stem, '[_\\-]+', ' ', 'g')")
+_META_SQL = f"""SELECT doc_id, source_dir, stem, n, first, two, array_to_string([CASE WHEN i = 1 OR NOT regexp_matches(plain[i - 1], '\\p{{L}}') THEN upper(plain[i]) ELSE lower(plain[i]) END FOR i IN range(1, length(plain) + 1)], '') AS title
+  FROM (SELECT *, {_CLEAN_STEM_SQL} AS plain FROM (SELECT d.doc_id, source_dir, trim(source_dir) AS n, {_STEM_SQL} AS stem, first, two FROM documents d JOIN shelves s ON s.name = d.shelf
+    LEFT JOIN (WITH {_PAGES_SQL} SELECT doc_id, string_agg(t, ' ' ORDER BY page) FILTER (page <= 2) AS two, min(t) FILTER (page = 1) AS first FROM pages GROUP BY 1) f ON f.doc_id = d.doc_id WHERE s.type = 'KIND' AND d.text IS NOT NULL))"""
+
+
+@query(f"""WITH m AS ({_META_SQL.replace('KIND', 'meetings')}), a AS (SELECT *, TRY_CAST({_DIR_DATE} AS DATE) AS by_folder FROM m), b AS (SELECT * EXCLUDE (n), trim(stem) AS n FROM a),
+  c AS (SELECT *, coalesce(by_folder, TRY_CAST({_DIR_DATE} AS DATE)) AS d FROM b)
+  SELECT doc_id, CASE WHEN d IS NULL THEN title ELSE title || ' (' || strftime(d, '%Y-%m-%d') || ')' END AS title, CAST(d AS VARCHAR) AS doc_date, CAST(year(d) AS INTEGER) AS year, {_strip_sql("left(coalesce(two, ''), 1200)")} AS summary FROM c""")
 def meta_meeting(spark: SparkSession, d: str) -> DataFrame:
     return metadata.meeting(_described(spark, d, "meetings")).select("doc_id", "title", F.col("doc_date").cast("string").alias("doc_date"), "year", "summary")
 
 
-@query()
+@query(f"""WITH m AS ({_META_SQL.replace('KIND', 'scientific')}), b AS (SELECT *, coalesce({_abstract_sql('first')}, {_strip_sql("left(coalesce(two, ''), 1200)")}) AS body FROM m)
+  SELECT doc_id, title, CASE WHEN body <> '' THEN title || '. ' || body ELSE body END AS summary, 'extracted' AS metadata_source FROM b""")
 def meta_paper(spark: SparkSession, d: str) -> DataFrame:
     return metadata.paper(_described(spark, d, "scientific")).select("doc_id", "title", "summary", F.col("extra")["metadata_source"].alias("metadata_source"))

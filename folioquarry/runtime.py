@@ -33,13 +33,25 @@ def ship(spark: SparkSession) -> None:
     sc._folioquarry_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores before costly work on each, where the input has fewer parts than that (one small file); else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset and the session is local.
+
+    On a cluster a folder of one machine can't hold what others must read, so
+    there the setting is required.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="folioquarry-")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -13,7 +13,7 @@ from ..config import Shelf
 from ..functions import text as tx
 from . import office
 
-_SCHEMA = "rel_path string, shelf string, filename string, source_dir string, suffix string, content_hash string, file_size long, modified_at timestamp, pages {pages}, prop_title string, prop_created date, error string"
+_SCHEMA = "rel_path string, shelf string, filename string, source_dir string, suffix string, content_hash string, file_size long, modified_at timestamp, pages {pages}, prop_title string, prop_created date, font_title string, error string"
 _PAGES = "array<struct<number:int,text:string,section:string>>"
 
 
@@ -52,13 +52,14 @@ def extract(files: DataFrame) -> DataFrame:
     """Pages and properties of each file; one that can't be read has ``error`` instead, and stops no other."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pages, titles, created, errors = [], [], [], []
+            pages, titles, created, fonts, errors = [], [], [], [], []
             for suffix, data in zip(pdf["suffix"], pdf["content"]):
-                t = c = err = None
+                t = c = big = err = None
                 found = None
                 try:
                     found = [{"number": n, "text": x, "section": s} for n, x, s in office.READERS[suffix](bytes(data))]
                     t, c = office.properties(suffix, bytes(data))
+                    big = office.font_title(suffix, bytes(data))
                     if not found:
                         err = "no text"
                 except Exception as e:  # a broken file is a row with an error
@@ -66,8 +67,9 @@ def extract(files: DataFrame) -> DataFrame:
                 pages.append(found)
                 titles.append(t)
                 created.append(pd.to_datetime(c).date() if c else None)
+                fonts.append(big)
                 errors.append(err)
-            yield pdf.drop(columns=["content"]).assign(pages=pages, prop_title=titles, prop_created=created, error=errors)
+            yield pdf.drop(columns=["content"]).assign(pages=pages, prop_title=titles, prop_created=created, font_title=fonts, error=errors)
 
     src = files.select("rel_path", "shelf", "filename", "source_dir", "suffix", "content_hash", "file_size", "modified_at", "content")
     return src.mapInPandas(run, _SCHEMA.format(pages=_PAGES))

@@ -29,7 +29,7 @@ def request(folder: str, shelf: str = "*", force: bool = False) -> None:
 
 def wanted(requests: DataFrame, config: Config) -> tuple[list[str], bool]:
     """Which shelves a batch of requests asks for, and whether by force; ``*`` asks for all, unknown names for none."""
-    names = [s.name for s in config.shelves]
+    names = list(config.shelves)
     row = requests.where(F.col("shelf").isin([*names, "*"])).agg(F.collect_set("shelf").alias("s"), F.coalesce(F.bool_or("force"), F.lit(False)).alias("f")).first()
     return (names if "*" in row["s"] else [n for n in names if n in row["s"]]), bool(row["f"])
 

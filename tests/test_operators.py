@@ -47,6 +47,52 @@ def test_packers(words, budget):
     assert " ".join(chunking.split_long(line, budget)).split() == line.split()
 
 
+def test_split_long():
+    a, b = "a" * 49 + ".", "b" * 49 + "."
+    assert chunking.split_long(f"{a} {b}", 100) == [f"{a} {b}"] and chunking.split_long(f"{a} {b}", 99) == [a, b]
+    assert chunking.split_long("x" * 300, 100) == ["x" * 300] and chunking.split_long("", 100) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=25), st.integers(5, 80))
+def test_split_long_fills_greedily(sizes, target):
+    parts = ["w" * (n - 1) + "." for n in sizes]
+    want, cur = [], ""
+    for p in parts:
+        if cur and len(cur) + len(p) > target:
+            want.append(cur)
+            cur = p
+        else:
+            cur = f"{cur} {p}".strip()
+    assert chunking.split_long(" ".join(parts), target) == want + ([cur] if cur else [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=30), st.integers(5, 25), st.integers(0, 12))
+def test_ranges_follow_the_contract(lengths, target, overlap):
+    """Step by step: a buffer that is closed at the target and keeps a tail."""
+    want, buf = [], []
+
+    def tail():
+        kept = []
+        while len(kept) < len(buf) and sum(lengths[i] for i in kept) < overlap:
+            kept.insert(0, buf[-1 - len(kept)])
+        return [] if sum(lengths[i] for i in kept) >= target else kept
+
+    for i, n in enumerate(lengths):
+        if n > 1.5 * target:
+            want += [(buf[0], buf[-1] + 1, False)] if buf else []
+            want.append((i, i + 1, True))
+            buf = []
+            continue
+        buf.append(i)
+        if sum(lengths[k] for k in buf) >= target:
+            want.append((buf[0], buf[-1] + 1, False))
+            buf = tail()
+    want += [(buf[0], buf[-1] + 1, False)] if buf else []
+    assert list(chunking.chunk_ranges(lengths, target, overlap)) == want
+
+
 def test_chunk_documents(spark):
     pages = [(1, "INTRODUCTION\n\n" + "word " * 100, None), (2, "tail " * 80, "Own")]
     df = spark.createDataFrame([(7, pages), (8, None), (9, [])], f"id long, pages {chunking.PAGES}")
@@ -139,8 +185,8 @@ def test_config(tmp_path):
     f = tmp_path / "c.yaml"
     f.write_text("shelves:\n  - {name: a, type: manuals, path: /x}\nembedding: {backend: hash}\n")
     c = load_config(f)
-    assert c.shelf("a").dir_meaning == "device" and c.shelf("b") is None
-    for bad in ("shelves: []", "shelves:\n  - {name: a, type: nope, path: /x}", "shelves:\n  - {name: a, type: manuals, path: /x}\n  - {name: a, type: manuals, path: /x}", "shelves:\n  - {name: a, type: manuals, path: /x}\nembedding: {backend: nope}"):
+    assert c.shelves["a"].path == "/x" and c.names("manuals") == ["a"] and c.names("meetings") == [] and c.embedding.backend == "hash"
+    for bad in ("shelves: []", "shelves:\n  - {name: a, type: nope, path: /x}", "shelves:\n  - {name: a, type: manuals, path: /x}\n  - {name: a, type: manuals, path: /x}", "shelves:\n  - {name: a, type: manuals, path: /x}\nembedding: {backend: nope}", "shelves:\n  - {name: a, type: manuals, path: /x}\nchunking: {target: 4}", "shelves:\n  - {name: a, type: manuals}"):
         f.write_text(bad)
         with pytest.raises(ValueError):
             load_config(f)
