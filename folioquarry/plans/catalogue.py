@@ -237,7 +237,7 @@ def read_document_budget(spark: SparkSession, d: str) -> DataFrame:
     return search.read_documents(table(spark, d, "chunks"))
 
 
-@query(f"""WITH {_VEC.format(where='')}, {_KW.format(word=WORD, where='')}, {_FUSED} SELECT f.chunk_id, c.content AS text, round(f.score, 5) AS score, d.doc_id AS document_id, d.shelf, d.title, d.filename,
+@query(f"""WITH {_VEC.format(where='')}, {_KW.format(word=WORD, where='')}, {_FUSED} SELECT f.chunk_id, c.content AS text, round_even(f.score, 5) AS score, d.doc_id AS document_id, d.shelf, d.title, d.filename,
   CASE WHEN page_start <> 0 AND page_end <> 0 AND page_start <> page_end THEN page_start || '-' || page_end WHEN page_start <> 0 THEN page_start::VARCHAR END AS pages, nullif(c.section, '') AS section, strftime(d.doc_date, '%Y-%m-%d') AS date
   FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 8) f JOIN chunks c ON c.id = f.chunk_id JOIN documents d ON d.doc_id = c.document_id""")
 def hit_json(spark: SparkSession, d: str) -> DataFrame:
@@ -509,7 +509,7 @@ _FOLD_SQL = f"""WITH RECURSIVE {_PAGES_SQL}, heads AS (SELECT *, {_strip_sql("st
   last_ AS (SELECT doc_id, max(i) AS i FROM fold GROUP BY 1),
   closed AS (SELECT doc_id, i, 0 AS sub, a, z FROM fold WHERE a IS NOT NULL UNION ALL SELECT f.doc_id, f.i + 1, 0, f.first, f.i FROM fold f JOIN last_ l ON l.doc_id = f.doc_id AND l.i = f.i WHERE f.first <= f.i),
   plain AS (SELECT c.doc_id, c.i, 0::BIGINT AS sub, {_clean_sql("array_to_string([q.t FOR q IN p[a : z]], chr(10) || chr(10))")} AS content, p[a].page AS page_start, p[z].page AS page_end, list_filter([q.section FOR q IN p[a : z]], lambda v: v IS NOT NULL)[1] AS section FROM closed c JOIN docs d ON d.doc_id = c.doc_id),
-  sent AS (SELECT f.doc_id, f.i, string_split(regexp_replace(p[f.long].t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s, p[f.long].page AS page, p[f.long].section AS section FROM fold f JOIN docs d ON d.doc_id = f.doc_id WHERE f.long IS NOT NULL),
+  sent AS (SELECT f.doc_id, f.i, string_split(regexp_replace(p[f.long].t, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)) AS s, p[f.long].page AS page, p[f.long].section AS section FROM fold f JOIN docs d ON d.doc_id = f.doc_id WHERE f.long IS NOT NULL),
   pieces AS (
     SELECT doc_id, i, 1::BIGINT AS k, s[1] AS cur, NULL::VARCHAR AS piece, s, page, section FROM sent
     UNION ALL
