@@ -144,20 +144,20 @@ def distance(item: np.ndarray, region: np.ndarray) -> int:
     return int(row.min())
 
 
-def _triples(codes: np.ndarray) -> np.ndarray:
-    c = codes.astype(np.uint64)
-    return _mix(_mix(c[:-2] * _GOLDEN + c[1:-1]) * _GOLDEN + c[2:])
-
-
 def verify(item: np.ndarray, region: np.ndarray, run: int, rate: float, penalty: int) -> tuple[int, int] | None:
     """``(score, edits)`` of a case, None for no case: the best run's score, and the edits of the whole item."""
     allowed = int(rate * len(item))
+    a, b = item.tolist(), region.tolist()
+    there = set(b)
     # what is in no place of the region costs an edit each
-    whole = np.isin(item, region).sum() >= len(item) - allowed
-    # m matches in e + 1 blocks hold m - 2(e + 1) triples, at least run - 2 where m - penalty * e >= run and penalty >= 2
-    part = len(item) >= run and len(region) > 2 and np.isin(_triples(region), _triples(item)).sum() >= run - 2
-    if not whole and not part:
-        return None
+    whole = sum(w in there for w in a) >= len(a) - allowed
+    if not whole:
+        if len(a) < run:
+            return None
+        # m matches in e + 1 blocks hold m - 2(e + 1) triples, at least run - 2 where m - penalty * e >= run and penalty >= 2
+        mine = set(zip(a, a[1:], a[2:]))
+        if sum(t in mine for t in zip(b, b[1:], b[2:])) < run - 2:
+            return None
     score, edits = alignment(item, region, penalty), distance(item, region)
     return (score, edits) if edits <= allowed or (len(item) >= run and score >= run) else None
 
