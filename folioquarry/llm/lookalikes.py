@@ -60,7 +60,9 @@ def _accented() -> dict[str, str]:
 ACCENTED = _accented()
 _SCRIPTS = {"greek": (GREEK, GREEK_AS), "cyrillic": (CYRILLIC, CYRILLIC_AS), "armenian": (ARMENIAN, ARMENIAN_AS)}
 _FOREIGN = r"[\x{370}-\x{3ff}\x{1f00}-\x{1fff}\x{400}-\x{52f}\x{530}-\x{58f}]"
-_WORD = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f])+")
+_MARKED = "(?:[^\\W\\d_]|[\u0300-\u036f])"
+_FOREIGN_WORD = re.compile(f"{_MARKED}*[\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f\u0530-\u058f]{_MARKED}*")
+_LETTER = re.compile(r"[^\W\d_]")
 # Beyond UNCOMPOSED: letters and signs that composition replaces wherever they stand.
 REPLACED = r"\x{374}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{f69}\x{2adc}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1f}"
 
@@ -105,13 +107,14 @@ def _script(c: str) -> str | None:
 
 
 @cache
-def _tables(accents: bool) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
-    """Look-alike letters to what they look like, and per script the way back."""
+def _tables(accents: bool) -> tuple[dict[str, str], dict[str, dict[str, str]], dict]:
+    """Look-alike letters to what they look like, per script the way back, and what is replaced wherever it stands."""
     there = {c: t for source, target in _SCRIPTS.values() for c, t in zip(source, target)} | (ACCENTED if accents else {})
     back: dict[str, dict[str, str]] = {s: {} for s in _SCRIPTS}
     for c, t in there.items():
         back[_script(c)].setdefault(t, c)
-    return there, back
+    rest = {c: t for c, t in zip(*_pairs()) if c not in there} | dict.fromkeys(INVISIBLE, "") | LIGATURES
+    return there, back, str.maketrans(rest)
 
 
 def settled(text: str, accents: bool = True) -> str:
@@ -122,31 +125,21 @@ def settled(text: str, accents: bool = True) -> str:
     next to a word of it.  A word with unmistakable letters of two scripts keeps
     them, its look-alikes become Latin.
     """
-    there, back = _tables(accents)
-    source, target = _pairs()
-    rest = {c: t for c, t in zip(source, target) if c not in there} | dict.fromkeys(INVISIBLE, "") | LIGATURES
-    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(str.maketrans(rest)))
-    words = list(_WORD.finditer(text))
-    kinds: list[str | None] = []
+    there, back, rest = _tables(accents)
+    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(rest))
+    words = list(_FOREIGN_WORD.finditer(text))  # all others are Latin already
+    kinds: list[str] = []
     for m in words:
         scripts = {s for s in map(_script, m.group()) if s}
         others = scripts - {"latin"}
-        if not others:
-            kinds.append("latin")
-            continue
         sure = {s for c in m.group() if (s := _script(c)) and (c not in there if s != "latin" else any(c not in back[o] for o in others))}
-        if len(sure) == 1:
-            kinds.append(sure.pop())
-        elif len(sure) > 1 or len(scripts) > 1:
-            kinds.append("latin")
-        else:
-            kinds.append("?" + others.pop())
-    for order in (range(len(words)), range(len(words) - 1, -1, -1)):
-        before = None
+        kinds.append(sure.pop() if len(sure) == 1 else "latin" if sure or len(scripts) > 1 else "?" + others.pop())
+    # words with no Latin word between them
+    near = [bool(i) and not _LETTER.search(text, words[i - 1].end(), words[i].start()) for i in range(len(words))] + [False]
+    for order, back_one in ((range(len(words)), -1), (range(len(words) - 1, -1, -1), 1)):
         for i in order:
-            if kinds[i][0] == "?" and kinds[i][1:] == before:
-                kinds[i] = before
-            before = kinds[i]
+            if kinds[i][0] == "?" and near[i if back_one < 0 else i + 1] and kinds[i][1:] == kinds[i + back_one]:
+                kinds[i] = kinds[i][1:]
     out, at = [], 0
     for m, kind in zip(words, kinds):
         word = m.group()
