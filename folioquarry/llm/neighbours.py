@@ -8,8 +8,11 @@ cross-polytope hash gives every node starting neighbours: the best of those it
 shares a bucket with.  Then NN-descent: every node sends its vector to the
 nodes it is a neighbour of, in either direction; those compare all they
 received with each other (neighbours of neighbours) and return what beats a
-node's worst neighbour.  Rounds end when few lists change.  Queries search the
-graph greedily from the bucket mates of the query.
+node's worst neighbour.  Pairs of which both were there in the round before are
+not compared again, and nodes around which nothing is new get no mail.  Rounds
+end when few lists change.  Queries search the graph greedily, forwards and
+backwards, from the bucket mates of the query; that a query may be a node itself
+is not made use of.
 
 Several collections may share one run: ``kind`` keeps them apart.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
@@ -171,15 +174,70 @@ def _lists(ids: np.ndarray, near: np.ndarray, sims: np.ndarray) -> pa.Table:
 _NONE = (np.zeros(0, np.int64), np.zeros((0, 1), np.int64), np.zeros((0, 1), np.float32))
 
 
+def _split_crowded(placed: DataFrame, dim: int, bucket: int, seed: int, scratch: Scratch, levels: int = 3) -> DataFrame:
+    """``placed`` with a ``block``: a crowded bucket falls into parts by the direction in which its members leave its mean.
+
+    Each member stands in the two parts nearest to it, so that a cut parts few
+    neighbours, and parts still crowded are cut again.  What is crowded after
+    ``levels`` of this has no directions to tell apart; it is cut at random, each
+    bucket differently, and the descent joins what that parts.
+    """
+    placed = placed.withColumn("block", F.lit(0).cast("long"))
+    for level in range(levels):
+        sizes = placed.groupBy("key", "block").count().where(F.col("count") > 4 * bucket)
+        crowded = scratch.keep(sizes.select("key", "block", "count"))
+        if not crowded.head(1):
+            return placed
+        turn = _rotations(dim, 1, seed + 100 + level)
+        inside = scratch.keep(placed.join(crowded, ["key", "block"]))
+        sums = scratch.keep(_means(inside, dim))
+
+        def part(batches: Iterator[pa.RecordBatch], turn=turn) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    off = _unpack(b) - _exact(b, "mean")
+                    codes = np.empty((b.num_rows, 2), np.int64)
+                    count = b.column("count").to_numpy()
+                    for size in np.unique(count):
+                        at = count == size
+                        codes[at] = _codes(off[at], turn, max(1, round(2 * int(size) / (2 * dim * bucket))))
+                    # parts keep the bucket they come from
+                    block = (b.column("block").to_numpy()[:, None] * 1_000_003 + codes + 1) & ((1 << 62) - 1)
+                    offsets = np.arange(0, codes.size + 1, 2).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "q", "scale", "key")), pa.ListArray.from_arrays(offsets, pa.array(block.ravel()))], names=["node", "q", "scale", "key", "blocks"])
+
+        cut = inside.join(sums, ["key", "block"]).mapInArrow(part, "node long, q binary, scale float, key long, blocks array<long>").select("node", "q", "scale", "key", F.explode("blocks").alias("block"))
+        placed = scratch.keep(placed.join(crowded.select("key", "block"), ["key", "block"], "left_anti").select("node", "q", "scale", "key", "block").unionByName(cut))
+    sizes = placed.groupBy("key", "block").count().where(F.col("count") > 4 * bucket).select("key", "block", F.ceil(F.col("count") / (2 * bucket)).cast("long").alias("parts"))
+    at = F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.xxhash64("key", "block", F.pmod(F.xxhash64("node", "key", "block"), F.col("parts"))))
+    return placed.join(scratch.keep(sizes), ["key", "block"], "left").select("node", "q", "scale", "key", at.alias("block"))
+
+
+def _means(inside: DataFrame, dim: int) -> DataFrame:
+    """``(key, block, mean)``: the mean vector of each part; tasks add up what they hold, so a crowded part is no task of its own."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                x = np.concatenate([_unpack(b).astype(np.float64), np.ones((b.num_rows, 1))], 1)
+                pairs, which = np.unique(np.stack([b.column("key").to_numpy(), b.column("block").to_numpy()], 1), axis=0, return_inverse=True)
+                sums = np.zeros((len(pairs), dim + 1))
+                np.add.at(sums, which.ravel(), x)
+                for pair, row in zip(map(tuple, pairs.tolist()), sums):
+                    total[pair] = total.get(pair, 0) + row
+        keys = np.array(list(total), np.int64).reshape(-1, 2)
+        rows = [r.tolist() for r in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(rows, pa.list_(pa.float64()))], names=["key", "block", "s"])
+
+    def close(t: pa.Table) -> pa.Table:
+        s = np.array(t["s"].to_pylist()).sum(0)
+        return pa.table({"key": t["key"][:1], "block": t["block"][:1], "mean": _packed((s[:dim] / s[dim])[None].astype(np.float32))})
+
+    return inside.mapInArrow(add, "key long, block long, s array<double>").groupBy("key", "block").applyInArrow(close, "key long, block long, mean binary")
+
+
 def _start(nodes: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int, seed: int, scratch: Scratch, parts: int) -> DataFrame:
-    placed = _placed(nodes, _sectors(n, dim, bucket), _rotations(dim, tables, seed))
-    # a crowded bucket is cut at random into blocks, in each table differently; the descent joins what a cut parts
-    crowded = placed.groupBy("key").count().where(F.col("count") > 4 * bucket).select(F.col("key").alias("ckey"), F.ceil(F.col("count") / (2 * bucket)).cast("long").alias("blocks"))
-    crowded = scratch.keep(crowded)
-    if crowded.head(1):
-        placed = placed.join(crowded, placed["key"] == crowded["ckey"], "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).otherwise(0)).select("node", "q", "scale", "key", "block")
-    else:
-        placed = placed.withColumn("block", F.lit(0).cast("long"))
+    placed = _split_crowded(_placed(nodes, _sectors(n, dim, bucket), _rotations(dim, tables, seed)), dim, bucket, seed, scratch)
 
     def mates(t: pa.Table) -> pa.Table:
         if t.num_rows < 2:
@@ -200,14 +258,14 @@ def _start(nodes: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int,
 
 
 def _local_join(sent: DataFrame, parts: int) -> DataFrame:
-    """All pairs of vectors that met at a node, kept where they beat the worst neighbour of their receiver."""
+    """All pairs of vectors that met at a node, one of them new there, kept where they beat the worst neighbour of their receiver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
         def pairs(t: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(heads)
-            x, node, worst = _unpack(t), t["node"].to_numpy(), t["worst"].to_numpy()
+            x, node, worst, new = _unpack(t), t["node"].to_numpy(), t["worst"].to_numpy(), t["new"].to_numpy(zero_copy_only=False)
             for m in np.unique(sizes):
                 if m < 2:
                     continue
@@ -217,7 +275,7 @@ def _local_join(sent: DataFrame, parts: int) -> DataFrame:
                     g = x[rows]
                     s = g @ g.transpose(0, 2, 1)
                     s[:, np.arange(m), np.arange(m)] = -np.inf
-                    b, i, j = np.nonzero(s > worst[rows][:, :, None])
+                    b, i, j = np.nonzero((s > worst[rows][:, :, None]) & (new[rows][:, :, None] | new[rows][:, None, :]))
                     if len(b):
                         yield _top(node[rows[b, i]], node[rows[b, j]], s[b, i, j].astype(np.float32), 1 << 30)
 
@@ -235,31 +293,50 @@ def _local_join(sent: DataFrame, parts: int) -> DataFrame:
     return sent.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(run, LISTS)
 
 
+def _listed_by(edges: DataFrame, order: Column, most: int) -> DataFrame:
+    """``(to, from)`` of ``(to, node, ...)``: the first ``most`` nodes in ``order`` that list a node, as structs; a much-listed node is thinned in 64 shares first."""
+    few = F.slice(F.array_sort(F.collect_list("from")), 1, most).alias("from")
+    marked = edges.select("to", F.struct(order.alias("o"), *[F.col(c) for c in edges.columns if c != "to"]).alias("from"))
+    thin = marked.groupBy("to", F.pmod(F.xxhash64("from.node"), F.lit(64)).alias("share")).agg(few).select("to", F.explode("from").alias("from"))
+    return thin.groupBy("to").agg(few)
+
+
+_NO_IDS = "CAST(array() AS array<long>)"
+
+
 def descend(nodes: DataFrame, n: int, dim: int, k: int, width: int, rounds: int, least: float, tables: int, bucket: int, seed: int, scratch: Scratch) -> DataFrame:
     """``(node, near, sims)``: the neighbour graph over ``(node, q, scale)``."""
     spark = nodes.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 100_000)
-    graph = _start(nodes, n, dim, k, tables, bucket, seed, scratch, parts)
+    start = _start(nodes, n, dim, k, tables, bucket, seed, scratch, parts)
+    graph = start.withColumn("fresh", F.transform("near", lambda x: F.lit(True)))
+    changed = n * k
     for round_no in range(rounds):
-        edges = graph.select("node", F.explode(F.slice("near", 1, width)).alias("to"))
+        lists = graph.select("node", F.explode(F.slice(F.arrays_zip("near", "fresh"), 1, width)).alias("e")).select("node", F.col("e.near").alias("to"), F.col("e.fresh").alias("fresh"))
         # who lists me: the reverse neighbours, of which NN-descent takes a random few per round
-        few = F.slice(F.array_sort(F.collect_list("from")), 1, width).alias("from")
-        edges = edges.select("to", F.struct(F.xxhash64("node", F.lit(round_no)).alias("r"), F.col("node").alias("n")).alias("from"))
-        # a much-listed node is thinned in 64 shares first
-        thin = edges.groupBy("to", F.pmod(F.col("from.r"), F.lit(64)).alias("share")).agg(few).select("to", F.explode("from").alias("from"))
-        back = thin.groupBy("to").agg(few).select(F.col("to").alias("node"), F.col("from.n").alias("back"))
+        back = _listed_by(lists, F.xxhash64("node", F.lit(round_no)), width).select(
+            F.col("to").alias("node"), F.col("from.node").alias("back"), F.transform(F.filter("from", lambda f: f["fresh"]), lambda f: f["node"]).alias("back_new"))
         mail = nodes.join(graph, "node").join(back, "node", "left")
-        to = F.array_distinct(F.concat(F.slice("near", 1, width), F.coalesce("back", F.array().cast("array<long>"))))
+        near, flags = F.slice("near", 1, width), F.slice("fresh", 1, width)
+        none = F.expr(_NO_IDS)
+        news = F.concat(F.filter(near, lambda x, i: F.get(flags, i)), F.coalesce("back_new", none))
+        to = F.transform(F.array_distinct(F.concat(near, F.coalesce("back", none))), lambda a: F.struct(a.alias("at"), F.array_contains("news", a).alias("new")))
         worst = F.when(F.size("near") < k, F.lit(-2.0)).otherwise(F.element_at("sims", -1)).cast("float")
-        sent = mail.select("node", "q", "scale", worst.alias("worst"), F.explode(to).alias("at"))
+        sent = mail.withColumn("news", news).select("node", "q", "scale", worst.alias("worst"), F.explode(to).alias("t")).select("node", "q", "scale", "worst", "t.at", "t.new")
+        if changed < 0.2 * n * k:  # nodes around which nothing is new get no mail
+            touched = lists.where("fresh")
+            awake = scratch.keep(touched.select(F.col("node").alias("at")).unionByName(touched.select(F.col("to").alias("at"))).distinct())
+            sent = sent.join(F.broadcast(awake) if awake.count() <= 500_000 else awake, "at", "left_semi").select("node", "q", "scale", "worst", "at", "new")
         better = _local_join(sent, parts)
-        new = scratch.keep(_merge(graph.unionByName(better), k, parts))
-        changed = new.join(graph.select("node", F.col("near").alias("old")), "node").agg(F.sum(F.size(F.array_except("near", "old")))).first()[0] or 0
-        scratch.drop(graph)
+        merged = _merge(graph.select("node", "near", "sims").unionByName(better), k, parts)
+        old = graph.select("node", F.col("near").alias("old"))
+        new = scratch.keep(merged.join(old, "node").select("node", "near", "sims", F.transform("near", lambda x: ~F.array_contains("old", x)).alias("fresh")))
+        changed = new.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
+        scratch.drop(start if round_no == 0 else graph)
         graph = new
         if changed < least * n * k:
             break
-    return graph
+    return graph.select("node", "near", "sims")
 
 
 def rescored(lists: DataFrame, nodes: DataFrame, askers: DataFrame, k: int) -> DataFrame:
@@ -277,53 +354,81 @@ def rescored(lists: DataFrame, nodes: DataFrame, askers: DataFrame, k: int) -> D
     return _merge(met.mapInArrow(dots, LISTS), k, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def neighbour_graph(vectors: DataFrame, dim: int = 64, k: int = 16, width: int = 16, rounds: int = 3, least: float = 0.05, tables: int = 8, bucket: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(graph, members, nodes)`` of ``vectors`` = ``(kind, id, v)``, kind 0..63.
+def tables_for(n: int) -> int:
+    """Start tables: eight up to 200,000 vectors, and eight more for each tenfold of that, as a bucket's share of the whole falls."""
+    return max(8, round(8 * (1 + np.log10(max(n, 1) / 200_000))))
 
-    ``graph``: ``(node, near, sims)``, the ``k`` nearest nodes by cosine, best
-    first; a list somewhat longer than wanted makes the descent surer.
-    ``sims`` are cosines of the vectors themselves, not of codes.  ``members``: ``(node, kind, id)``, one row per usable vector; rows
-    with equal vectors share a node (copies need not be compared).  Null,
-    all-zero, non-finite and wrong-length vectors are in neither.  Length does
-    not matter.  Empty input gives empty results.
+
+def nodes_of(vectors: DataFrame, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``(members, nodes)`` of ``vectors`` = ``(kind, id, v)``, kind 0..63.
+
+    ``members``: ``(node, kind, id)``, one row per usable vector; rows with equal
+    vectors share a node (copies need not be compared).  Null, all-zero,
+    non-finite and wrong-length vectors are in neither.  Length does not matter.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "neighbours")
+    scratch = Scratch(vectors.sparkSession, "nodes")
     coded = scratch.keep(encode(vectors, dim))
     keyed = F.shiftleft(F.min("id"), 6) + F.col("kind")
     nodes = scratch.keep(coded.groupBy("kind", "u").agg(keyed.alias("node"), F.first("q").alias("q"), F.first("scale").alias("scale"), F.count(F.lit(1)).alias("copies")))
     several = nodes.where("copies > 1").select("kind", "u", F.col("node").alias("shared"))
     own = F.shiftleft("id", 6) + F.col("kind")
-    members = coded.join(several, ["kind", "u"], "left").select(F.coalesce("shared", own).alias("node"), "kind", "id")
-    members = scratch.keep(members)
+    members = scratch.keep(coded.join(several, ["kind", "u"], "left").select(F.coalesce("shared", own).alias("node"), "kind", "id"))
     scratch.drop(coded)
-    nodes = nodes.select("node", "q", "scale", "u")
-    n = nodes.count()
+    return members, nodes.select("node", "q", "scale", "u")
+
+
+def graph_of(nodes: DataFrame, dim: int = 64, k: int = 16, width: int = 16, rounds: int = 10, least: float = 0.02, tables: int | None = None, bucket: int = 2048, seed: int = 5) -> DataFrame:
+    """``(node, near, sims)``: the ``k`` nearest nodes of each by cosine, best first.
+
+    A list somewhat longer than wanted makes the descent surer.  ``sims`` are
+    cosines of the vectors themselves, not of codes.  A list that stayed shorter
+    than there are nodes of its kind is made by comparing with all of them.
+    """
+    spark = nodes.sparkSession
+    scratch = Scratch(spark, "neighbours")
+    kind = F.col("node").bitwiseAND(63)
+    sizes = {r["kind"]: r["n"] for r in nodes.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 64
+    n = sum(sizes.values())
     if n < 2:
-        return spark.createDataFrame([], LISTS), members, nodes
-    graph = descend(nodes.select("node", "q", "scale"), n, dim, k, width, rounds, least, tables, bucket, seed, scratch)
+        return spark.createDataFrame([], LISTS)
+    graph = descend(nodes.select("node", "q", "scale"), n, dim, k, width, rounds, least, tables or tables_for(n), bucket, seed, scratch)
     spark.sparkContext._jvm.System.gc()  # the shuffle files of the descent go before those of the scores come
     exact = scratch.keep(rescored(graph, nodes, nodes, k))
     scratch.drop(graph)
-    return exact, members, nodes
+    full = F.least(F.lit(k), F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[kind] - 1)
+    have = exact.select("node", F.size("near").alias("have"))
+    short = scratch.keep(nodes.join(have, "node", "left").where(F.coalesce("have", F.lit(0)) < full).select("node", "u"))
+    if not short.head(1):
+        return exact
+    return exact.join(short, "node", "left_anti").unionByName(exact_search(nodes, short, k))
+
 
+def neighbour_graph(vectors: DataFrame, dim: int = 64, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(graph, members, nodes)``, see ``graph_of`` and ``nodes_of``.  Empty input gives empty results."""
+    members, nodes = nodes_of(vectors, dim)
+    return graph_of(nodes, dim, **options), members, nodes
 
-def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int = 64, k: int = 10, beam: int = 48, width: int = 16, hops: int = 3, tables: int = 2, bucket: int = 4096, seed: int = 5) -> DataFrame:
-    """``(node, near, sims)`` per query ``(node, q, scale)``: the ``k`` most similar nodes, found by greedy search of the graph.
 
-    The search starts from the best bucket mates in ``tables`` tables.  In each
-    hop the ``width`` best nodes of the beam that were not opened yet are opened:
-    their neighbours are compared with the query and the ``beam`` best stay.  A
-    query that is itself a node does not find itself.  Queries without a mate
-    find nothing.
+def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int = 64, k: int = 10, beam: int = 96, width: int = 24, hops: int = 4, tables: int | None = None, bucket: int = 4096, seed: int = 5) -> DataFrame:
+    """``(node, near, sims)`` per query ``(node, q, scale, u)``: the ``k`` most similar nodes, found by greedy search of the graph.
+
+    The search starts from the best bucket mates in ``tables`` tables (half of
+    those of the graph).  In each hop the ``width`` best nodes of the beam that
+    were not opened yet are opened: those they list, and the best of those that
+    list them, are compared with the query, and the ``beam`` best stay.  A query
+    need not be a node; one that is does not find itself, and its own list is
+    not looked at.  Queries without a mate find nothing.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "search")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
-    sub, rotations = _sectors(n, dim, bucket), _rotations(dim, tables, seed)
+    sub, rotations = _sectors(n, dim, bucket), _rotations(dim, tables or max(4, tables_for(n) // 2), seed)
     askers = scratch.keep(queries.select("node", "q", "scale", "u"))
     queries = askers.select("node", "q", "scale")
+    edges = graph.select("node", F.explode(F.arrays_zip("near", "sims")).alias("e")).select("node", F.col("e.near").alias("to"), F.col("e.sims").alias("sim"))
+    back = _listed_by(edges, -F.col("sim"), 16).select(F.col("to").alias("node"), F.transform("from", lambda f: f["node"]).alias("back"))
+    linked = scratch.keep(graph.select("node", "near").join(back, "node", "left").select("node", F.array_union("near", F.coalesce("back", F.expr(_NO_IDS))).alias("near")))
 
     def score(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
@@ -346,9 +451,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: in
     asked = asked.join(blocks, "key").select("node", "q", "scale", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     placed = placed.join(blocks, "key").select("node", "q", "scale", "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     mates = asked.groupBy("key", "block").cogroup(placed.groupBy("key", "block")).applyInArrow(score, LISTS)
-    # a query that is a node also starts from its own list
-    own = graph.join(queries.select("node"), "node", "left_semi").select("node", "near", "sims")
-    found = scratch.keep(_merge(mates.unionByName(own), beam, parts))
+    found = scratch.keep(_merge(mates, beam, parts))
     opened = None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,12 +465,13 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: in
     ask = queries.select(F.col("node").alias("asker"), F.col("q").alias("aq"), F.col("scale").alias("ascale"))
     for _ in range(hops):
         beamed = found.select(F.col("node").alias("asker"), F.posexplode("near").alias("pos", "node"))
+        known = beamed.select("asker", "node")
         if opened is not None:
             beamed = beamed.join(opened, ["asker", "node"], "left_anti")
         best = beamed.groupBy("asker").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "node"))), 1, width).alias("b"))  # lists of at most the beam
         front = scratch.keep(best.select("asker", F.explode("b.node").alias("node")))
         opened = front if opened is None else opened.unionByName(front)
-        reach = front.join(graph.select("node", "near"), "node").select("asker", F.explode("near").alias("node")).where("asker <> node").distinct()
+        reach = front.join(linked, "node").select("asker", F.explode("near").alias("node")).where("asker <> node").distinct().join(known, ["asker", "node"], "left_anti")
         pairs = reach.join(nodes.select("node", "q", "scale"), "node").join(ask, "asker")
         found = scratch.keep(_merge(found.unionByName(pairs.mapInArrow(compare, LISTS)), beam, parts))
     # the whole beam is scored on the vectors themselves before it is cut
@@ -409,12 +513,20 @@ def exact_search(nodes: DataFrame, queries: DataFrame, k: int = 10, block: int =
     return _merge(met, k, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def similar_pairs(graph: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """``(kind, id_a, id_b)``: pairs of rows with similarity of at least ``least``, copies of a node included."""
+def similar_links(graph: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``, a < b: nodes with similarity of at least ``least``; with the members of each node these stand for all pairs of rows."""
     edges = graph.select("node", F.explode(F.arrays_zip("near", "sims")).alias("e")).where(F.col("e.sims") >= least)
-    edges = edges.select(F.least("node", "e.near").alias("a"), F.greatest("node", "e.near").alias("b")).distinct()
+    return edges.select(F.least("node", "e.near").alias("a"), F.greatest("node", "e.near").alias("b")).distinct()
+
+
+def similar_pairs(graph: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """``(kind, id_a, id_b)``: pairs of rows with similarity of at least ``least``, copies of a node included.
+
+    As many rows as there are pairs: where a vector is filed m times these are
+    m (m - 1) / 2, and ``similar_links`` with the members says the same in m.
+    """
     twins = members.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
     ma = members.select(F.col("node").alias("a"), "kind", F.col("id").alias("x"))
     mb = members.select(F.col("node").alias("b"), F.col("id").alias("y"))
-    both = edges.unionByName(twins).join(ma, "a").join(mb, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    both = similar_links(graph, least).unionByName(twins).join(ma, "a").join(mb, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return both.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

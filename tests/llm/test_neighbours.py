@@ -122,3 +122,61 @@ def test_every_stated_row_is_asked(spark, monkeypatch):
     assert {(r["class_id"], r["copies"]) for r in rows if r["id"] in (100, 120)} == {(19, 41)}
     assert all(r["neighbour_copies"] == (41 if r["neighbour_id"] == 19 else 1) for r in rows if r["rank"])
     assert [r["queries"] for r in queries.p3_recall(spark, "").collect()] == [10]
+
+
+def recall_of(near, x, k=10):
+    truth = np.argsort(-cosines(x), 1)[:, :k]
+    return np.mean([len(set(truth[i]) & set(near.get(i, [])[:k])) / k for i in range(len(x))])
+
+
+def test_recall_in_one_crowded_direction(spark):
+    """All vectors in one bucket, many times its size: cut by direction, not by chance."""
+    rng = np.random.default_rng(11)
+    x = (np.ones((1500, 16)) + 0.05 * rng.standard_normal((1500, 16))).astype(np.float32)
+    graph, _, _ = neighbours.neighbour_graph(frame(spark, x), dim=16, bucket=48)
+    near = {r["node"] >> 6: [n >> 6 for n in r["near"]] for r in graph.collect()}
+    assert recall_of(near, x) >= 0.9
+
+
+def test_crowded_buckets_keep_their_members(spark):
+    from folioquarry.runtime import Scratch
+
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.ones((400, 8)) + 0.01 * rng.standard_normal((400, 8)), rng.standard_normal((50, 8))])
+    _, nodes = neighbours.nodes_of(frame(spark, x), 8)
+    placed = neighbours._placed(nodes, 1, neighbours._rotations(8, 2, 5))
+    cut = neighbours._split_crowded(placed, 8, 10, 5, Scratch(spark, "test"))
+    assert {(r["node"], r["key"]) for r in placed.collect()} == {(r["node"], r["key"]) for r in cut.select("node", "key").collect()}
+    assert max(r["count"] for r in cut.groupBy("key", "block").count().collect()) < 100
+
+
+def test_lone_vectors_have_full_lists(spark):
+    x = np.random.default_rng(13).standard_normal((12, 64))
+    df = frame(spark, x).unionByName(frame(spark, x[:3], kind=2))
+    graph, _, _ = neighbours.neighbour_graph(df, dim=64)
+    lists = {r["node"]: r["near"] for r in graph.collect()}
+    assert len(lists) == 15 and all(len(set(v)) == (11 if n & 63 == 0 else 2) and n not in v for n, v in lists.items())
+
+
+def test_search_of_vectors_the_graph_has_never_seen(spark):
+    x = clustered(2000, 16, np.random.default_rng(14))
+    _, nodes = neighbours.nodes_of(frame(spark, x), 16)
+    inside, asked = nodes.where("shiftright(node, 6) % 20 <> 0"), nodes.where("shiftright(node, 6) % 20 = 0")
+    graph = neighbours.graph_of(inside, dim=16, bucket=64)
+    exact = {r["node"]: r["near"] for r in neighbours.exact_search(inside, asked).collect()}
+    found = {r["node"]: r["near"] for r in neighbours.graph_search(graph, inside, asked, dim=16, bucket=64).collect()}
+    assert len(exact) == 100 and all((n >> 6) % 20 for near in found.values() for n in near)
+    assert np.mean([len(set(exact[q]) & set(found.get(q, []))) / 10 for q in exact]) >= 0.95
+
+
+def test_links_stand_for_pairs(spark):
+    base = np.random.default_rng(15).standard_normal((4, 8))
+    v = [base[0], base[0] * 2, base[0] + 0.01, base[1], base[2], base[3]]
+    graph, members, _ = neighbours.neighbour_graph(frame(spark, v), dim=8)
+    links = {(r["a"] >> 6, r["b"] >> 6) for r in neighbours.similar_links(graph, 0.95).collect()}
+    assert links == {(0, 2)}
+    assert {(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(graph, members, 0.95).collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_tables_follow_the_size():
+    assert [neighbours.tables_for(n) for n in (0, 1000, 200_000, 2_000_000, 2_000_000_000)] == [8, 8, 8, 16, 40]
