@@ -35,11 +35,11 @@ def run_watcher(spark: SparkSession, config: Config, once: bool, force: bool) ->
         log.info("%s", ingest.scan_all(spark, store, config, force))
         return
     feed = f"{config.store.path}/requests"
-    watch.request(feed, force=force)
+    watch.request(spark, feed, force=force)
     query = watch.watch(spark, feed, config, lambda name, forced: ingest.scan_shelf(spark, store, config.shelves[name], config, forced), f"{config.store.path}/watch-checkpoint")
     for number in (signal.SIGINT, signal.SIGTERM):
         signal.signal(number, lambda *_: threading.Thread(target=query.stop).start())
-    watch.tick(query, feed, config)
+    watch.tick(spark, query, feed, config)
 
 
 def make_server(config: Config, library) -> ThreadingHTTPServer:

@@ -111,5 +111,5 @@ class Library:
             return {"error": f"Unknown shelf {shelf!r}", "available": list(self.config.shelves)}
         if not self.requests:
             return {"error": "no request folder configured"}
-        request(self.requests, shelf or "*")
+        request(self.spark, self.requests, shelf or "*")
         return {"status": "requested", "shelf": shelf or "all"}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..runtime import file_system, put_text
 
 TABLES = {"shelves": schema.SHELVES, "documents": schema.DOCUMENTS, "chunks": schema.CHUNKS}
 #: The column whose hash deals a table's rows to buckets.
@@ -32,9 +33,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        jvm = spark.sparkContext._jvm
-        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        self._fs = self._at("pointers").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._at = lambda name: file_system(spark, f"{self.path}/{name}")[1]
+        self._fs, _ = file_system(spark, self.path)
         self._fs.mkdirs(self._at("pointers"))
 
     def _version(self) -> int:
@@ -88,14 +88,12 @@ class Store:
         self._flip(version, pointer)
 
     def _flip(self, version: int, pointer: dict) -> None:
-        draft = self._at(f"pointers/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(pointer).encode()))
-        out.close()
-        target = self._at(f"pointers/{version + 1:012d}")
-        if self._version() > version or not self._fs.rename(draft, target):
-            self._fs.delete(draft, False)
+        if self._version() > version:
             raise RuntimeError("the store was changed by another writer")
+        try:
+            put_text(self.spark, f"{self.path}/pointers", f"{version + 1:012d}", json.dumps(pointer))
+        except FileExistsError:
+            raise RuntimeError("the store was changed by another writer") from None
 
     def vacuum(self, keep_seconds: float = 3600.0) -> int:
         """Removes parts no current pointer names and pointers before it, once older than ``keep_seconds``; returns how many."""

@@ -39,6 +39,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it: a local folder, HDFS or an object store alike."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """A file that is whole when it appears: written under a hidden name first, then renamed."""
+    fs, draft = file_system(spark, f"{folder}/.{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, file_system(spark, f"{folder}/{name}")[1]):
+        fs.delete(draft, False)
+        raise FileExistsError(f"{folder}/{name}")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset and the session is local.
 
@@ -85,9 +102,8 @@ class Scratch:
             self._remove(path)
 
     def _remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = file_system(self.spark, path)
+        fs.delete(target, True)
 
     def _clear(self) -> None:
         try:

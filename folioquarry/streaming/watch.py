@@ -6,25 +6,23 @@ import json
 import logging
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
+from ..runtime import file_system, put_text
 
 REQUEST = "shelf string, force boolean"
 log = logging.getLogger(__name__)
 
 
-def request(folder: str, shelf: str = "*", force: bool = False) -> None:
-    """Asks for a rescan of one shelf, or of all with ``*``; written under another name first, so no reader sees half a file."""
-    at = Path(folder)
-    at.mkdir(parents=True, exist_ok=True)
-    draft = at / f".{uuid.uuid4().hex}.tmp"
-    draft.write_text(json.dumps({"shelf": shelf, "force": force}))
-    draft.rename(at / f"{uuid.uuid4().hex}.json")
+def request(spark: SparkSession, folder: str, shelf: str = "*", force: bool = False) -> None:
+    """Asks for a rescan of one shelf, or of all with ``*``; no reader sees half a file."""
+    fs, at = file_system(spark, folder)
+    fs.mkdirs(at)
+    put_text(spark, folder, f"{uuid.uuid4().hex}.json", json.dumps({"shelf": shelf, "force": force}))
 
 
 def wanted(requests: DataFrame, config: Config) -> tuple[list[str], bool]:
@@ -41,7 +39,8 @@ def watch(spark: SparkSession, folder: str, config: Config, scan: Callable[[str,
     every few seconds and callers add a ``*`` request every scan interval
     (``tick``).  Micro-batches never overlap, the checkpoint keeps the place.
     """
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    fs, at = file_system(spark, folder)
+    fs.mkdirs(at)
 
     def batch(df: DataFrame, _: int) -> None:
         shelves, force = wanted(df, config)
@@ -56,8 +55,8 @@ def watch(spark: SparkSession, folder: str, config: Config, scan: Callable[[str,
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
-def tick(query: StreamingQuery, folder: str, config: Config) -> None:
+def tick(spark: SparkSession, query: StreamingQuery, folder: str, config: Config) -> None:
     """Adds a full-pass request every scan interval until the query ends; ``query.stop()`` ends both."""
-    request(folder)
+    request(spark, folder)
     while not query.awaitTermination(config.watcher.scan_interval_seconds):
-        request(folder)
+        request(spark, folder)

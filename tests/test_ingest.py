@@ -293,10 +293,10 @@ def test_watcher(spark, library, tmp_path):
         watch.watch(spark, feed, library, scan, str(tmp_path / "ck"), once=True).awaitTermination()
         return seen
 
-    watch.request(feed, "meet", force=True)
-    watch.request(feed, "meet")
-    watch.request(feed, "unknown")
+    watch.request(spark, feed, "meet", force=True)
+    watch.request(spark, feed, "meet")
+    watch.request(spark, feed, "unknown")
     assert run() == [("meet", True)]
-    watch.request(feed)
+    watch.request(spark, feed)
     assert run() == [("manuals", False), ("meet", False), ("lost", False)]
     assert run() == []
