@@ -60,11 +60,15 @@ def spans(text: str, size: int = 100_000) -> Iterator[str]:
 def count_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(id, source, tokens)`` with the source in its clean spelling; a null text has no tokens, whole texts are read.
 
-    ``tokenizer`` is a vocabulary file every worker can read.
+    ``tokenizer`` is a vocabulary file of the driver; it is sent to the workers.
     """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = Path(tokenizer).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer)
+        from pyspark import SparkFiles
+
+        enc = _encoder(SparkFiles.get(name))
         for b in batches:
             n = [sum(len(enc.encode_ordinary(s)) for s in spans(t)) if t else 0 for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], b["source"], pa.array(n, pa.int64())], names=["id", "source", "tokens"])

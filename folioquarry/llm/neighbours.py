@@ -174,11 +174,12 @@ def _lists(ids: np.ndarray, near: np.ndarray, sims: np.ndarray) -> pa.Table:
 _NONE = (np.zeros(0, np.int64), np.zeros((0, 1), np.int64), np.zeros((0, 1), np.float32))
 
 
-def _split_crowded(placed: DataFrame, dim: int, bucket: int, seed: int, scratch: Scratch, levels: int = 3) -> DataFrame:
+def _split_crowded(placed: DataFrame, dim: int, sub: int, tables: int, bucket: int, seed: int, scratch: Scratch, levels: int = 3) -> DataFrame:
     """``placed`` with a ``block``: a crowded bucket falls into parts by the direction in which its members leave its mean.
 
-    Each member stands in the two parts nearest to it, so that a cut parts few
-    neighbours, and parts still crowded are cut again.  What is crowded after
+    Each table cuts by a rotation of its own, each member stands in the two parts
+    nearest to it, so that what one cut parts another leaves together, and parts
+    still crowded are cut again.  What is crowded after
     ``levels`` of this has no directions to tell apart; it is cut at random, each
     bucket differently, and the descent joins what that parts.
     """
@@ -188,19 +189,19 @@ def _split_crowded(placed: DataFrame, dim: int, bucket: int, seed: int, scratch:
         crowded = scratch.keep(sizes.select("key", "block", "count"))
         if not crowded.head(1):
             return placed
-        turn = _rotations(dim, 1, seed + 100 + level)
+        turns = _rotations(dim, tables, seed + 100 + level)
         inside = scratch.keep(placed.join(crowded, ["key", "block"]))
         sums = scratch.keep(_means(inside, dim))
 
-        def part(batches: Iterator[pa.RecordBatch], turn=turn) -> Iterator[pa.RecordBatch]:
+        def part(batches: Iterator[pa.RecordBatch], turns=turns) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     off = _unpack(b) - _exact(b, "mean")
                     codes = np.empty((b.num_rows, 2), np.int64)
-                    count = b.column("count").to_numpy()
-                    for size in np.unique(count):
-                        at = count == size
-                        codes[at] = _codes(off[at], turn, max(1, round(2 * int(size) / (2 * dim * bucket))))
+                    each = np.stack([b.column("count").to_numpy(), (b.column("key").to_numpy() >> 6) // (2 * dim * (sub + 2))], 1)
+                    for size, t in np.unique(each, axis=0).tolist():
+                        at = (each == (size, t)).all(1)
+                        codes[at] = _codes(off[at], turns[2 * t : 2 * t + 2], max(1, round(2 * size / (2 * dim * bucket))))
                     # parts keep the bucket they come from
                     block = (b.column("block").to_numpy()[:, None] * 1_000_003 + codes + 1) & ((1 << 62) - 1)
                     offsets = np.arange(0, codes.size + 1, 2).astype(np.int32)
@@ -237,13 +238,16 @@ def _means(inside: DataFrame, dim: int) -> DataFrame:
 
 
 def _start(nodes: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int, seed: int, scratch: Scratch, parts: int) -> DataFrame:
-    placed = _split_crowded(_placed(nodes, _sectors(n, dim, bucket), _rotations(dim, tables, seed)), dim, bucket, seed, scratch)
+    sub = _sectors(n, dim, bucket)
+    placed = _split_crowded(_placed(nodes, sub, _rotations(dim, tables, seed)), dim, sub, tables, bucket, seed, scratch)
+
+    most = max(1, k // 2)  # of each bucket; a node meets its mates in many
 
     def mates(t: pa.Table) -> pa.Table:
         if t.num_rows < 2:
             return _lists(*_NONE)
         x, ids = _unpack(t), t["node"].to_numpy()
-        m = min(k, len(ids) - 1)
+        m = min(most, len(ids) - 1)
         near, sims = [], []
         for lo in range(0, len(ids), 512):
             s = x[lo : lo + 512] @ x.T
@@ -409,7 +413,7 @@ def neighbour_graph(vectors: DataFrame, dim: int = 64, **options) -> tuple[DataF
     return graph_of(nodes, dim, **options), members, nodes
 
 
-def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int = 64, k: int = 10, beam: int = 96, width: int = 24, hops: int = 4, tables: int | None = None, bucket: int = 4096, seed: int = 5) -> DataFrame:
+def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int = 64, k: int = 10, beam: int = 80, width: int = 32, hops: int = 3, tables: int | None = None, bucket: int = 4096, seed: int = 5) -> DataFrame:
     """``(node, near, sims)`` per query ``(node, q, scale, u)``: the ``k`` most similar nodes, found by greedy search of the graph.
 
     The search starts from the best bucket mates in ``tables`` tables (half of
@@ -427,7 +431,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: in
     askers = scratch.keep(queries.select("node", "q", "scale", "u"))
     queries = askers.select("node", "q", "scale")
     edges = graph.select("node", F.explode(F.arrays_zip("near", "sims")).alias("e")).select("node", F.col("e.near").alias("to"), F.col("e.sims").alias("sim"))
-    back = _listed_by(edges, -F.col("sim"), 16).select(F.col("to").alias("node"), F.transform("from", lambda f: f["node"]).alias("back"))
+    back = _listed_by(edges, -F.col("sim"), 12).select(F.col("to").alias("node"), F.transform("from", lambda f: f["node"]).alias("back"))
     linked = scratch.keep(graph.select("node", "near").join(back, "node", "left").select("node", F.array_union("near", F.coalesce("back", F.expr(_NO_IDS))).alias("near")))
 
     def score(asked: pa.Table, there: pa.Table) -> pa.Table:
@@ -444,12 +448,14 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: in
             sims.append(np.take_along_axis(s, at, 1))
         return _lists(ids, np.concatenate(near), np.concatenate(sims))
 
-    # a crowded bucket is compared in blocks, all of them with every query
-    placed = _placed(nodes, sub, rotations)
-    asked = _placed(queries, sub, rotations)
-    blocks = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (4 * bucket)).cast("int").alias("blocks"))
-    asked = asked.join(blocks, "key").select("node", "q", "scale", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    placed = placed.join(blocks, "key").select("node", "q", "scale", "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed, asked = _placed(nodes, sub, rotations), _placed(queries, sub, rotations)
+    crowded = scratch.keep(placed.groupBy("key").count().where(F.col("count") > 4 * bucket).select("key", F.ceil(F.col("count") / (4 * bucket)).cast("int").alias("blocks")))
+    if crowded.head(1):  # a crowded bucket is compared in blocks, all of them with every query
+        blocks = F.coalesce("blocks", F.lit(1))
+        asked = asked.join(crowded, "key", "left").select("node", "q", "scale", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        placed = placed.join(crowded, "key", "left").select("node", "q", "scale", "key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    else:
+        placed, asked = placed.withColumn("block", F.lit(0)), asked.withColumn("block", F.lit(0))
     mates = asked.groupBy("key", "block").cogroup(placed.groupBy("key", "block")).applyInArrow(score, LISTS)
     found = scratch.keep(_merge(mates, beam, parts))
     opened = None
@@ -460,22 +466,29 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: in
                 y = _unpack(b)
                 x = _unpack(b.select(["aq", "ascale"]).rename_columns(["q", "scale"]))
                 one = np.einsum("ij,ij->i", x, y).astype(np.float32)
-                yield from _lists(b.column("asker").to_numpy(), b.column("node").to_numpy()[:, None], one[:, None]).to_batches()
+                good = one > b.column("worst").to_numpy()  # the rest would fall off the beam
+                if good.any():
+                    yield _top(b.column("asker").to_numpy()[good], b.column("node").to_numpy()[good], one[good], 1 << 30)
 
     ask = queries.select(F.col("node").alias("asker"), F.col("q").alias("aq"), F.col("scale").alias("ascale"))
     for _ in range(hops):
-        beamed = found.select(F.col("node").alias("asker"), F.posexplode("near").alias("pos", "node"))
-        known = beamed.select("asker", "node")
+        worst = F.when(F.size("near") < beam, F.lit(-2.0)).otherwise(F.element_at("sims", -1)).cast("float").alias("worst")
+        beamed = found.select(F.col("node").alias("asker"), worst, F.posexplode("near").alias("pos", "node"))
         if opened is not None:
             beamed = beamed.join(opened, ["asker", "node"], "left_anti")
-        best = beamed.groupBy("asker").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "node"))), 1, width).alias("b"))  # lists of at most the beam
-        front = scratch.keep(best.select("asker", F.explode("b.node").alias("node")))
-        opened = front if opened is None else opened.unionByName(front)
-        reach = front.join(linked, "node").select("asker", F.explode("near").alias("node")).where("asker <> node").distinct().join(known, ["asker", "node"], "left_anti")
-        pairs = reach.join(nodes.select("node", "q", "scale"), "node").join(ask, "asker")
-        found = scratch.keep(_merge(found.unionByName(pairs.mapInArrow(compare, LISTS)), beam, parts))
-    # the whole beam is scored on the vectors themselves before it is cut
-    return rescored(found, nodes, askers, k)
+        best = beamed.groupBy("asker", "worst").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "node"))), 1, width).alias("b"))  # lists of at most the beam
+        front = scratch.keep(best.select("asker", "worst", F.explode("b.node").alias("node")))
+        seen = front.select("asker", "node")
+        opened = seen if opened is None else opened.unionByName(seen)
+        reach = front.join(linked, "node").select("asker", "worst", F.explode("near").alias("node")).where("asker <> node")
+        pairs = reach.join(nodes.select("node", "q", "scale"), "node").join(ask, "asker").select("asker", "worst", "node", "q", "scale", "aq", "ascale")
+        last = found
+        found = scratch.keep(_merge(last.unionByName(pairs.mapInArrow(compare, LISTS)), beam, parts))
+        scratch.drop(last)
+        spark.sparkContext._jvm.System.gc()  # a hop's shuffle files go before those of the next come
+    # codes are nearly exact: the better half of the beam is scored on the vectors themselves before it is cut
+    half = F.lit(max(k, beam // 2))
+    return rescored(found.select("node", F.slice("near", F.lit(1), half).alias("near"), F.slice("sims", F.lit(1), half).alias("sims")), nodes, askers, k)
 
 
 def exact_search(nodes: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:

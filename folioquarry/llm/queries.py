@@ -97,18 +97,18 @@ def p3_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the exact ten nearest that lists and searches find, each over a stated twentieth of the rows, compared in blocks.
+    """Share of the exact ten nearest that lists and searches find, over a stated part of the rows each, compared in blocks.
 
     The searched rows (id divisible by 20, copies included) are left out of the
     graph, so the search meets vectors it has never seen; the lists are those of
-    the nodes with remainder 1.
+    the nodes with id one more than a multiple of 100.
     """
     members, nodes = neighbours.nodes_of(_vectors(spark, d))
     rows = _asked(members)
     held = rows.select("node").distinct()
     inside, asked = nodes.join(held, "node", "left_anti"), nodes.join(held, "node", "left_semi")
     graph = neighbours.graph_of(inside)
-    listed = inside.where(F.shiftright("node", 6) % 20 == 1)
+    listed = inside.where(F.shiftright("node", 6) % 100 == 1)
     none = F.array().cast("array<long>")
     pick = lambda df, name: df.select("node", F.slice("near", 1, 10).alias(name))
     lists = pick(neighbours.exact_search(inside, listed), "true").join(pick(graph, "got"), "node", "left").withColumn("of", F.lit("graph"))
