@@ -359,8 +359,8 @@ def rescored(lists: DataFrame, nodes: DataFrame, askers: DataFrame, k: int) -> D
 
 
 def tables_for(n: int) -> int:
-    """Start tables: eight up to 200,000 vectors, and eight more for each tenfold of that, as a bucket's share of the whole falls."""
-    return max(8, round(8 * (1 + np.log10(max(n, 1) / 200_000))))
+    """Start tables: nine up to 200,000 vectors, and nine more for each tenfold of that, as a bucket's share of the whole falls."""
+    return max(9, round(9 * (1 + np.log10(max(n, 1) / 200_000))))
 
 
 def nodes_of(vectors: DataFrame, dim: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -416,7 +416,7 @@ def neighbour_graph(vectors: DataFrame, dim: int = 64, **options) -> tuple[DataF
 def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int = 64, k: int = 10, beam: int = 80, width: int = 32, hops: int = 3, tables: int | None = None, bucket: int = 4096, seed: int = 5) -> DataFrame:
     """``(node, near, sims)`` per query ``(node, q, scale, u)``: the ``k`` most similar nodes, found by greedy search of the graph.
 
-    The search starts from the best bucket mates in ``tables`` tables (half of
+    The search starts from the best bucket mates in ``tables`` tables (two fifths of
     those of the graph).  In each hop the ``width`` best nodes of the beam that
     were not opened yet are opened: those they list, and the best of those that
     list them, are compared with the query, and the ``beam`` best stay.  A query
@@ -427,7 +427,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: in
     scratch = Scratch(spark, "search")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
-    sub, rotations = _sectors(n, dim, bucket), _rotations(dim, tables or max(4, tables_for(n) // 2), seed)
+    sub, rotations = _sectors(n, dim, bucket), _rotations(dim, tables or max(4, round(0.4 * tables_for(n))), seed)
     askers = scratch.keep(queries.select("node", "q", "scale", "u"))
     queries = askers.select("node", "q", "scale")
     edges = graph.select("node", F.explode(F.arrays_zip("near", "sims")).alias("e")).select("node", F.col("e.near").alias("to"), F.col("e.sims").alias("sim"))

@@ -179,4 +179,4 @@ def test_links_stand_for_pairs(spark):
 
 
 def test_tables_follow_the_size():
-    assert [neighbours.tables_for(n) for n in (0, 1000, 200_000, 2_000_000, 2_000_000_000)] == [8, 8, 8, 16, 40]
+    assert [neighbours.tables_for(n) for n in (0, 1000, 200_000, 2_000_000, 2_000_000_000)] == [9, 9, 9, 18, 45]
